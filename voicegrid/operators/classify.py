@@ -18,6 +18,10 @@ from voicegrid.operators.skew import join_frequent
 
 MAX_FEATURES = 30_000
 SOURCE = "xgboost"
+ADDED = (
+    "clean_text", "category", "prediction_confidence", "vocabulary_hits",
+    "review_route", "needs_human_review", "requires_llm_review", "classification_source",
+)
 
 
 # --- preparation ---------------------------------------------------------------
@@ -174,7 +178,7 @@ def score(df: DataFrame, model: PipelineModel, threshold: float = DEFAULTS.class
         "category": F.col("predicted"),
         "prediction_confidence": confidence(vector_to_array("probability")),
     })
-    kept = scored.select(*[c for c in df.columns if c != "category"], "clean_text", "category", "prediction_confidence")
+    kept = scored.select(*[c for c in df.columns if c not in ADDED], "clean_text", "category", "prediction_confidence")
     vocabulary = df.sparkSession.createDataFrame([(t,) for t in vocabulary_of(model)], "term string")
     return route(vocabulary_hits(kept, vocabulary, seq, "clean_text"), threshold, source)
 
@@ -190,7 +194,10 @@ def train(dataset: DataFrame, seq: str = "review_seq", seed: int = 42, balanced:
         weights = class_weights(train_rows)
         train_rows = join_frequent(train_rows, weights, ["category"], "rows")
         weight = "class_weight"
-    model = fit(train_rows.cache(), weight=weight, **options)
+    # The learner reads its rows once per iteration.
+    train_rows = train_rows.persist()
+    model = fit(train_rows, weight=weight, **options)
+    train_rows.unpersist()
     held_out = model.transform(split.filter("is_test"))
     predictions = held_out.select(
         seq, F.col("category").alias("actual"), "predicted", confidence(vector_to_array("probability")).alias("confidence")

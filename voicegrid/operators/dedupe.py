@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voicegrid.config import DEFAULTS
@@ -28,13 +29,12 @@ from voicegrid.functions import text, vectors
 from voicegrid.operators.components import connected_components
 from voicegrid.operators.features import idf
 from voicegrid.operators.skew import join_frequent, number_rows
-from voicegrid.session import materialize
+from voicegrid.session import materialize, spread
 
 # A broadcast of whole vectors is kept to this many documents.
 HOT_VECTORS = 200
 # Cosines are compared with this slack, as sums differ in their last digits.
 SLACK = 1e-9
-TERMS = "array<struct<term: string, tf: int>>"
 
 
 def with_unit(reviews: DataFrame, seq: str = "review_seq") -> DataFrame:
@@ -52,7 +52,7 @@ def unit_digest(tokens):
 def collapse_copies(reviews: DataFrame, seq: str = "review_seq") -> DataFrame:
     """One row per (app, token sequence): first row number and number of copies."""
     return (
-        with_unit(reviews.select("app_id", seq, "review_text"), seq)
+        with_unit(spread(reviews.select("app_id", seq, "review_text")), seq)
         .groupBy("app_id", "tokens")
         .agg(F.min(seq).alias("unit"), F.count("*").alias("copies"))
     )
@@ -65,61 +65,59 @@ def app_sizes(units: DataFrame) -> DataFrame:
 def unit_vectors(units: DataFrame, threshold: float = DEFAULTS.dedupe_threshold) -> DataFrame:
     """Per unit its shared terms with unit-length weights, and its prefix.
 
-    A term of a single unit counts in the length but can never be shared, so it
-    is left out of `vector`. `prefix` holds the shared prefix terms and, for each,
-    the squared length of the vector from that term on (`rest`).
+    Most terms (rare word pairs above all) occur in one unit only. They count in
+    the length of a vector but never in a product, so their squares are summed
+    inside the row and only shared terms are joined and shuffled further. In the
+    global term order they come first, then shared terms by document frequency.
+    `prefix` holds the shared prefix terms and, for each, the squared length of
+    the vector from that term on (`rest`).
     """
     worded = units.filter(~F.startswith("tokens", F.lit("#")))
-    terms = worded.select(
-        "app_id", "unit", "copies", F.inline(text.term_counts(text.ngrams(F.split("tokens", " "))))
-    )
-    stats = terms.groupBy("app_id", "term").agg(F.sum("copies").alias("df"), F.count("*").alias("units"))
-    sized = join_frequent(stats, app_sizes(units), ["app_id"], "app_rows")
-    lookup = sized.select("app_id", "term", "units", "df", idf(F.col("df"), F.col("app_rows")).alias("idf"))
-    weighted = join_frequent(terms.drop("copies"), lookup, ["app_id", "term"], "units")
-    entry = F.struct(
-        "df", "term", (F.col("tf") * F.col("idf")).alias("w"), (F.col("units") > 1).alias("shared")
-    )
-    bags = weighted.groupBy("app_id", "unit").agg(F.sort_array(F.collect_list(entry)).alias("bag"))
-    scaled = bags.withColumn(
-        "bag",
-        text.once(
-            F.sqrt(vectors.total(F.transform("bag", lambda e: e["w"] * e["w"]))),
-            lambda length: F.transform(
-                "bag", lambda e: F.struct(e["term"].alias("term"), (e["w"] / length).alias("w"), e["shared"].alias("shared"))
-            ),
-        ),
-    )
-    floor = threshold * threshold - SLACK
-    # Squared length left before each prefix term; the scan stops growing below the floor.
-    start = F.struct(F.lit(1.0).alias("rest"), F.array().cast("array<double>").alias("marks"))
-    marks = F.aggregate(
-        "bag",
-        start,
-        lambda acc, e: F.when(
-            acc["rest"] >= floor,
-            F.struct(
-                (acc["rest"] - e["w"] * e["w"]).alias("rest"),
-                F.array_append(acc["marks"], acc["rest"]).alias("marks"),
-            ),
-        ).otherwise(acc),
-        lambda acc: acc["marks"],
-    )
-    headed = scaled.withColumn("marks", marks)
-    prefix = F.filter(
-        F.transform(
-            "marks",
-            lambda rest, i: F.struct(
-                F.get(F.col("bag"), i)["term"].alias("term"), rest.alias("rest"), F.get(F.col("bag"), i)["shared"].alias("shared")
-            ),
-        ),
-        lambda e: e["shared"],
-    )
-    shared = F.transform(
-        F.filter("bag", lambda e: e["shared"]),
-        lambda e: F.struct(e["term"].alias("term"), e["w"].alias("w")),
-    )
-    return headed.select("app_id", "unit", shared.alias("vector"), prefix.alias("prefix"))
+    sized = join_frequent(worded, app_sizes(units), ["app_id"], "app_rows")
+    # Weight every term as if no other unit had it; shared terms are corrected below.
+    alone = idf(F.col("copies"), F.col("app_rows"))
+    counted = sized.withColumns({
+        "alone": alone, "bag": text.term_counts(text.ngrams(F.split("tokens", " "))),
+    })
+    # From here on a term is two independent 64-bit hashes of (app, term): short,
+    # fixed-width keys, and a clash of both is beyond any corpus.
+    keyed = F.transform("bag", lambda t: F.struct(
+        F.xxhash64("app_id", t["term"]).alias("k1"),
+        F.xxhash64(t["term"], F.lit("k2"), "app_id").alias("k2"),
+        t["tf"].alias("tf"),
+    ))
+    squares = F.transform("bag", lambda t: t["tf"] * t["tf"] * F.col("alone") * F.col("alone"))
+    terms = counted.withColumn("alone_squares", vectors.total(squares)).select(
+        "unit", "app_rows", "copies", "alone", "alone_squares", F.inline(keyed)
+    )
+    stats = (
+        terms.groupBy("k1", "k2")
+        .agg(F.sum("copies").alias("df"), F.count("*").alias("units"), F.max("app_rows").alias("app_rows"))
+        .filter("units > 1")
+    )
+    lookup = materialize(
+        stats.select("k1", "k2", "units", "df", idf(F.col("df"), F.col("app_rows")).alias("idf")), "terms"
+    )
+    shared = join_frequent(
+        terms.drop("app_rows", "copies"), lookup, ["k1", "k2"], "units", stored=True
+    )
+    whole = W.partitionBy("unit")
+    onwards = whole.orderBy("df", "k1", "k2").rowsBetween(W.currentRow, W.unboundedFollowing)
+    square = F.col("tf") * F.col("tf") * F.col("idf") * F.col("idf")
+    surplus = F.col("tf") * F.col("tf") * F.col("alone") * F.col("alone")
+    placed = shared.select(
+        "unit", "df", "k1", "k2", (F.col("tf") * F.col("idf")).alias("w"), square.alias("square"),
+        (F.col("alone_squares") + F.sum(square - surplus).over(whole)).alias("squares"),
+    ).select(
+        "unit", "k1", "k2", (F.col("w") / F.sqrt("squares")).alias("w"),
+        (F.sum("square").over(onwards) / F.col("squares")).alias("rest"),
+    )
+    in_prefix = F.col("rest") >= threshold * threshold - SLACK
+    # Same keys as the windows: the grouping needs no further shuffle.
+    return placed.groupBy("unit").agg(
+        F.collect_list(F.struct("k1", "k2", "w")).alias("vector"),
+        F.collect_list(F.when(in_prefix, F.struct("k1", "k2", "rest"))).alias("prefix"),
+    )
 
 
 def with_cosine(pairs: DataFrame, units: DataFrame) -> DataFrame:
@@ -138,13 +136,13 @@ def similarity_links(units: DataFrame, threshold: float = DEFAULTS.dedupe_thresh
 
     `units` is the stored output of `unit_vectors`.
     """
-    blocks = units.select("app_id", "unit", F.inline("prefix")).drop("shared")
+    blocks = units.select("unit", F.inline("prefix"))
     heads = (
-        blocks.groupBy("app_id", "term")
+        blocks.groupBy("k1", "k2")
         .agg(F.min("unit").alias("head"), F.count("*").alias("members"))
         .filter("members > 1")
     )
-    headed = join_frequent(blocks, heads, ["app_id", "term"], "members")
+    headed = join_frequent(blocks, heads, ["k1", "k2"], "members")
     spokes = headed.filter("unit <> head").select(F.col("head").alias("a"), F.col("unit").alias("b")).distinct()
     measured = materialize(with_cosine(spokes, units), "spokes")
     near = measured.filter(F.col("cosine") >= threshold - SLACK)
@@ -159,22 +157,22 @@ def similarity_links(units: DataFrame, threshold: float = DEFAULTS.dedupe_thresh
         .join(first.withColumnRenamed("node", "unit"), "unit", "left")
         .withColumn("component", F.coalesce("component", "unit"))
     )
-    placed = materialize(placed.select("app_id", "term", "unit", "rest", "angle", "component"), "blocks")
+    placed = materialize(placed.select("k1", "k2", "unit", "rest", "angle", "component"), "blocks")
     mixed = (
-        placed.groupBy("app_id", "term")
+        placed.groupBy("k1", "k2")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
         .filter("lo <> hi")
     )
-    open_rows = join_frequent(placed, mixed.select("app_id", "term", "members"), ["app_id", "term"], "members")
+    open_rows = join_frequent(placed, mixed.select("k1", "k2", "members"), ["k1", "k2"], "members")
     reach = math.acos(threshold - SLACK) + SLACK
     binned = open_rows.withColumn("bin", F.floor(F.col("angle") / reach))
-    left = binned.select("app_id", "term", "bin", *[F.col(c).alias("l_" + c) for c in ("unit", "rest", "angle", "component")])
+    left = binned.select("k1", "k2", "bin", *[F.col(c).alias("l_" + c) for c in ("unit", "rest", "angle", "component")])
     right = binned.select(
-        "app_id", "term", F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1)).alias("bin"),
+        "k1", "k2", F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1)).alias("bin"),
         *[F.col(c).alias("r_" + c) for c in ("unit", "rest", "angle", "component")],
     )
     candidates = (
-        left.join(right, ["app_id", "term", "bin"])
+        left.join(right, ["k1", "k2", "bin"])
         .filter("l_unit < r_unit AND l_component <> r_component")
         .filter(F.col("l_rest") * F.col("r_rest") >= (threshold - SLACK) ** 2)
         .filter(F.abs(F.col("l_angle") - F.col("r_angle")) <= reach)
@@ -233,4 +231,4 @@ def add_duplicate_groups(
     )
     lookup = materialize(lookup, "groups")
     keyed = with_unit(reviews, seq).withColumn("unit_digest", unit_digest(F.col("tokens"))).drop("tokens")
-    return join_frequent(keyed, lookup, ["app_id", "unit_digest"], "copies").drop("unit_digest", "copies")
+    return join_frequent(keyed, lookup, ["app_id", "unit_digest"], "copies", stored=True).drop("unit_digest", "copies")

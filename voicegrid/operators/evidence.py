@@ -9,6 +9,7 @@ from voicegrid.config import DEFAULTS, STORE_PAGE_URL
 from voicegrid.functions import numeric, text, vectors
 from voicegrid.operators.features import hash_embedding, idf, term_stats, terms_of
 from voicegrid.operators.skew import join_frequent
+from voicegrid.session import materialize
 
 
 def competitor_documents(details: DataFrame, retrieved: Column) -> DataFrame:
@@ -92,7 +93,7 @@ def top_k_tfidf(
     question_terms = terms_of(asked, bigrams=False, stopwords=stopwords)
     worded = chunks.withColumn("_terms", terms_of(F.col("text"), bigrams=False, stopwords=stopwords))
     documents = chunks.agg((F.count("*") + 1).cast("double").alias("n")).scalar()
-    stats = term_stats(worded.select(F.inline(text.term_counts(F.col("_terms")))))
+    stats = materialize(term_stats(worded.select(F.inline(text.term_counts(F.col("_terms"))))), "terms")
     query = spark.range(1).select(F.inline(text.term_counts(question_terms))).select("term", F.col("tf").alias("query_tf"))
     # The question has few terms; this side is as long as the question.
     weighted_query = query.join(stats, "term", "left").select(
@@ -102,7 +103,7 @@ def top_k_tfidf(
     query_length = weighted_query.agg(F.sqrt(F.sum(F.col("query_weight") * F.col("query_weight")))).scalar()
     hits = worded.filter(F.arrays_overlap("_terms", question_terms))
     terms = hits.select(key, F.inline(text.term_counts(F.col("_terms"))))
-    joined = join_frequent(terms, stats.select("term", "df"), ["term"], "df")
+    joined = join_frequent(terms, stats.select("term", "df"), ["term"], "df", stored=True)
     with_query = joined.join(F.broadcast(weighted_query), "term", "left")
     in_question = F.col("query_weight").isNotNull().cast("int")
     weight = F.col("tf") * idf(F.col("df") + in_question, documents)

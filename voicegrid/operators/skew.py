@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voicegrid.session import materialize
+
 # Upper bound of every explicitly broadcast key list.
 HOT_KEYS = 10_000
 SLICES = 1024
@@ -36,17 +38,31 @@ def top_n_per_key(
 
 
 def join_frequent(
-    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], frequency: str, hot_keys: int = HOT_KEYS
+    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], frequency: str,
+    hot_keys: int = HOT_KEYS, stored: bool = False,
 ) -> DataFrame:
     """Inner join of a long table to a lookup with one row per key.
 
-    The `hot_keys` most frequent keys travel as a broadcast list (its length is
-    fixed, whatever the data); every other key holds at most 1/hot_keys of the
-    rows and goes through an ordinary shuffle join.
+    `frequency` tells how many of `rows` carry the key. The lookup is stored
+    first (unless it already is a stored table), so its size is known:
+
+    * at most `hot_keys` rows: broadcast;
+    * no key above 1/hot_keys of all rows: plain shuffle join;
+    * otherwise the keys above that share, of which there can be no more than
+      `hot_keys`, are broadcast, and the others are shuffled.
     """
-    hot = lookup.orderBy(F.desc(frequency), *keys).limit(hot_keys)
-    frequent = rows.join(F.broadcast(hot), list(keys))
-    rest = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(lookup, list(keys))
+    keys = list(keys)
+    if not stored:
+        lookup = materialize(lookup, "lookup")
+    size, total = lookup.agg(F.count("*"), F.coalesce(F.sum(frequency), F.lit(0))).first()
+    if size <= hot_keys:
+        return rows.join(F.broadcast(lookup), keys)
+    is_hot = F.col(frequency) > F.lit(float(total) / hot_keys)
+    hot = lookup.filter(is_hot)
+    if hot.isEmpty():
+        return rows.join(lookup, keys)
+    frequent = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(lookup.filter(~is_hot), keys)
     return frequent.unionByName(rest)
 
 

@@ -16,6 +16,11 @@ RECOMMENDED_CONF = {
     # Per-app "newest N" keeps up to 7000 rows; let the scan side drop the rest
     # before the shuffle (the built-in cut-off is 1000).
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
+    # Hash joins instead of sorting both sides, where every measured partition is small.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # Text work costs far more per byte than the 1 MB default assumes; without
+    # this, small stages collapse into one task.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
 }
 
 
@@ -53,3 +58,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table of few large splits one partition per core before costly text work.
+
+    Inputs with enough splits, as at scale, pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -70,5 +70,10 @@ def _by_run(rows: DataFrame, path: str, run_id: str | None) -> None:
 def _writer(df: DataFrame, fmt: str):
     writer = df.write.format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        writer = (
+            writer.option("header", True)
+            .option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+        )
     return writer
