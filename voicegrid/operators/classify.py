@@ -151,7 +151,7 @@ def confidence(probabilities: Column) -> Column:
 def argmax_label(probabilities: Column, labels) -> Column:
     """Label of the highest probability, the first one on ties."""
     best = F.array_position(probabilities, F.array_max(probabilities)).cast("int")
-    return F.element_at(F.array(*[F.lit(label) for label in labels]), best)
+    return F.when(probabilities.isNotNull(), F.element_at(F.array(*[F.lit(label) for label in labels]), best))
 
 
 def route(df: DataFrame, threshold: float = DEFAULTS.classification_threshold, source: str = SOURCE) -> DataFrame:
@@ -218,7 +218,7 @@ def confusion_pairs(predictions: DataFrame) -> DataFrame:
 
 def confusion_matrix(predictions: DataFrame, labels) -> DataFrame:
     """One row per actual label, one column per predicted label."""
-    counted = predictions.groupBy("actual").pivot("predicted", list(labels)).agg(F.count("*"))
+    counted = predictions.groupBy("actual").pivot("predicted", list(labels)).agg(F.count("predicted"))
     return counted.na.fill(0)
 
 

@@ -206,6 +206,16 @@ def trivial_apps(reviews: DataFrame) -> DataFrame:
     )
 
 
+def trivial_groups(reviews: DataFrame, seq: str = "review_seq") -> DataFrame:
+    """Rows of trivial apps: every row is its own group, counted from 0."""
+    rows = reviews.join(trivial_apps(reviews).select("app_id"), "app_id", "left_semi")
+    return number_rows(rows, ["app_id"], seq, "duplicate_group").withColumns({
+        "duplicate_group": F.col("duplicate_group") - 1,
+        "duplicate_count": F.lit(1).cast("bigint"),
+        "dedupe_method": F.lit("not_required"),
+    })
+
+
 def add_duplicate_groups(
     reviews: DataFrame, threshold: float = DEFAULTS.dedupe_threshold, seq: str = "review_seq"
 ) -> DataFrame:

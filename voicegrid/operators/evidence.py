@@ -80,10 +80,8 @@ def retrieve(corpus: DataFrame, question: str, limit: int = DEFAULTS.evidence_li
     return top_k_vector(embed(corpus), hash_embedding(F.lit(question)), limit).select("text", "source", "score")
 
 
-def top_k_tfidf(
-    chunks: DataFrame, question: str, limit: int = DEFAULTS.evidence_limit, key: str = "id", stopwords=()
-) -> DataFrame:
-    """Best chunks by TF-IDF cosine, the question being part of the fitted corpus.
+def tfidf_scores(chunks: DataFrame, question: str, key: str = "id", stopwords=()) -> DataFrame:
+    """(key, cosine) of every chunk with a score above 0, the question being part of the fitted corpus.
 
     Only chunks that share a term with the question can score, so the long table
     is built for those alone; document frequencies still cover the whole corpus.
@@ -107,7 +105,7 @@ def top_k_tfidf(
     with_query = joined.join(F.broadcast(weighted_query), "term", "left")
     in_question = F.col("query_weight").isNotNull().cast("int")
     weight = F.col("tf") * idf(F.col("df") + in_question, documents)
-    scores = (
+    return (
         with_query.withColumn("weight", weight)
         .groupBy(key)
         .agg(
@@ -116,10 +114,18 @@ def top_k_tfidf(
         )
         .withColumn("cosine", F.col("dot") / (F.col("length") * query_length))
         .filter("cosine > 0")
+        .select(key, "cosine")
     )
+
+
+def top_k_tfidf(
+    chunks: DataFrame, question: str, limit: int = DEFAULTS.evidence_limit, key: str = "id", stopwords=()
+) -> DataFrame:
+    """Best chunks by TF-IDF cosine with their score."""
+    scores = tfidf_scores(chunks, question, key, stopwords)
     best = scores.orderBy(F.desc(F.round("cosine", 12)), key).limit(limit)
     return (
         best.join(chunks, key)
         .withColumn("score", numeric.round_even(F.col("cosine"), 4))
-        .drop("dot", "length", "cosine")
+        .drop("cosine")
     )

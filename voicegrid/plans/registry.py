@@ -15,7 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, reviews: bool = False, dated: bool = False, ctes: str = ""):
+def query(name: str, sql: str | None = None, reviews: bool = False, dated: bool = False, ctes: str = "", recursive: bool = False):
     """Register a function of `Tables`; `sql` may use the named projections."""
 
     def register(build):
@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None, reviews: bool = False, dated: bool
         QUERIES[name] = run
         if sql is not None:
             parts = [p for p in (REVIEWS_SQL if reviews or dated else "", DATED_SQL if dated else "", ctes) if p]
-            ORACLES[name] = (f"WITH {', '.join(parts)} " if parts else "") + sql
+            ORACLES[name] = (f"WITH {'RECURSIVE ' * recursive}{', '.join(parts)} " if parts else "") + sql
         return build
 
     return register
