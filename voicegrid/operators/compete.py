@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voicegrid.config import DEFAULTS, ISSUE_CATEGORIES, RATE_CATEGORIES, TOPIC_PATTERNS
 from voicegrid.functions import numeric, text
+from voicegrid.session import spread
 
 # Metric column, reported label, is higher better, smallest difference that counts.
 METRICS = (
@@ -76,7 +77,7 @@ def measured(df: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame
     although both subsets count it.
     """
     patterns = TOPIC_PATTERNS if patterns is None else patterns
-    prepared = _prepared(df)
+    prepared = _prepared(spread(df))
     folded = text.casefold(F.col("review_text"))
     hits = {f"hit_{i}": folded.rlike("(?U)" + p) for i, p in enumerate(patterns.values())}
     grouped = prepared.withColumns(hits).groupBy("app_id", "in_praise", "in_issue")

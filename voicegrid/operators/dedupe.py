@@ -31,8 +31,9 @@ from voicegrid.operators.features import idf
 from voicegrid.operators.skew import join_frequent, number_rows
 from voicegrid.session import materialize, spread
 
-# A broadcast of whole vectors is kept to this many documents.
+# Bounds of what may be broadcast: whole vectors, and term rows of four numbers.
 HOT_VECTORS = 200
+HOT_TERMS = 1_000_000
 # Cosines are compared with this slack, as sums differ in their last digits.
 SLACK = 1e-9
 
@@ -99,18 +100,21 @@ def unit_vectors(units: DataFrame, threshold: float = DEFAULTS.dedupe_threshold)
         stats.select("k1", "k2", "units", "df", idf(F.col("df"), F.col("app_rows")).alias("idf")), "terms"
     )
     shared = join_frequent(
-        terms.drop("app_rows", "copies"), lookup, ["k1", "k2"], "units", stored=True
+        terms.drop("app_rows", "copies"), lookup, ["k1", "k2"], "units", hot_keys=HOT_TERMS, stored=True
     )
-    whole = W.partitionBy("unit")
-    onwards = whole.orderBy("df", "k1", "k2").rowsBetween(W.currentRow, W.unboundedFollowing)
+    # One order for both windows, so the rows are sorted once.
+    ordered = W.partitionBy("unit").orderBy("df", "k1", "k2")
+    whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    onwards = ordered.rowsBetween(W.currentRow, W.unboundedFollowing)
     square = F.col("tf") * F.col("tf") * F.col("idf") * F.col("idf")
     surplus = F.col("tf") * F.col("tf") * F.col("alone") * F.col("alone")
     placed = shared.select(
-        "unit", "df", "k1", "k2", (F.col("tf") * F.col("idf")).alias("w"), square.alias("square"),
+        "unit", "k1", "k2", (F.col("tf") * F.col("idf")).alias("w"),
         (F.col("alone_squares") + F.sum(square - surplus).over(whole)).alias("squares"),
+        F.sum(square).over(onwards).alias("onwards"),
     ).select(
         "unit", "k1", "k2", (F.col("w") / F.sqrt("squares")).alias("w"),
-        (F.sum("square").over(onwards) / F.col("squares")).alias("rest"),
+        (F.col("onwards") / F.col("squares")).alias("rest"),
     )
     in_prefix = F.col("rest") >= threshold * threshold - SLACK
     # Same keys as the windows: the grouping needs no further shuffle.
@@ -240,5 +244,5 @@ def add_duplicate_groups(
         F.when(F.col("trivial"), "not_required").otherwise("tfidf_fallback").alias("dedupe_method"),
     )
     lookup = materialize(lookup, "groups")
-    keyed = with_unit(reviews, seq).withColumn("unit_digest", unit_digest(F.col("tokens"))).drop("tokens")
+    keyed = with_unit(spread(reviews), seq).withColumn("unit_digest", unit_digest(F.col("tokens"))).drop("tokens")
     return join_frequent(keyed, lookup, ["app_id", "unit_digest"], "copies", stored=True).drop("unit_digest", "copies")

@@ -9,7 +9,7 @@ from voicegrid.config import DEFAULTS, STORE_PAGE_URL
 from voicegrid.functions import numeric, text, vectors
 from voicegrid.operators.features import hash_embedding, idf, term_stats, terms_of
 from voicegrid.operators.skew import join_frequent
-from voicegrid.session import materialize
+from voicegrid.session import materialize, spread
 
 
 def competitor_documents(details: DataFrame, retrieved: Column) -> DataFrame:
@@ -89,7 +89,7 @@ def tfidf_scores(chunks: DataFrame, question: str, key: str = "id", stopwords=()
     spark = chunks.sparkSession
     asked = F.lit(question)
     question_terms = terms_of(asked, bigrams=False, stopwords=stopwords)
-    worded = chunks.withColumn("_terms", terms_of(F.col("text"), bigrams=False, stopwords=stopwords))
+    worded = spread(chunks.select(key, "text")).withColumn("_terms", terms_of(F.col("text"), bigrams=False, stopwords=stopwords))
     documents = chunks.agg((F.count("*") + 1).cast("double").alias("n")).scalar()
     stats = materialize(term_stats(worded.select(F.inline(text.term_counts(F.col("_terms"))))), "terms")
     query = spark.range(1).select(F.inline(text.term_counts(question_terms))).select("term", F.col("tf").alias("query_tf"))

@@ -10,6 +10,7 @@ from voicegrid.config import EMBEDDING_WIDTH
 from voicegrid.functions import text, vectors
 from voicegrid.functions.text import once
 from voicegrid.operators.skew import join_frequent
+from voicegrid.session import spread
 
 NUMERIC_FEATURES = ("rating", "thumbs_up", "review_length", "word_count", "has_reply")
 
@@ -26,7 +27,7 @@ def terms_of(column: Column, bigrams: bool = True, stopwords=(), accents: bool =
 def term_table(docs: DataFrame, key: str, column: str, **options) -> DataFrame:
     """(key, term, tf) for every document; counted inside the row, so nothing is shuffled."""
     counts = text.term_counts(terms_of(F.col(column), **options))
-    return docs.select(key, F.inline(counts)).withColumn("tf", F.col("tf").cast("bigint"))
+    return spread(docs.select(key, column)).select(key, F.inline(counts)).withColumn("tf", F.col("tf").cast("bigint"))
 
 
 def term_stats(terms: DataFrame) -> DataFrame:

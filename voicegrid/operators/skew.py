@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from voicegrid.session import materialize
 
-# Upper bound of every explicitly broadcast key list.
-HOT_KEYS = 10_000
+# Upper bound of an explicitly broadcast list of narrow rows (about 100 bytes each).
+HOT_KEYS = 100_000
 SLICES = 1024
 
 
@@ -43,8 +43,8 @@ def join_frequent(
 ) -> DataFrame:
     """Inner join of a long table to a lookup with one row per key.
 
-    `frequency` tells how many of `rows` carry the key. The lookup is stored
-    first (unless it already is a stored table), so its size is known:
+    `frequency` tells how many of `rows` carry the key. One small aggregation
+    over the lookup decides:
 
     * at most `hot_keys` rows: broadcast;
     * no key above 1/hot_keys of all rows: plain shuffle join;
@@ -52,15 +52,18 @@ def join_frequent(
       `hot_keys`, are broadcast, and the others are shuffled.
     """
     keys = list(keys)
-    if not stored:
-        lookup = materialize(lookup, "lookup")
-    size, total = lookup.agg(F.count("*"), F.coalesce(F.sum(frequency), F.lit(0))).first()
+    size, total, top = lookup.agg(
+        F.count("*"), F.coalesce(F.sum(frequency), F.lit(0)), F.coalesce(F.max(frequency), F.lit(0))
+    ).first()
     if size <= hot_keys:
         return rows.join(F.broadcast(lookup), keys)
-    is_hot = F.col(frequency) > F.lit(float(total) / hot_keys)
-    hot = lookup.filter(is_hot)
-    if hot.isEmpty():
+    share = float(total) / hot_keys
+    if top <= share:
         return rows.join(lookup, keys)
+    if not stored:
+        lookup = materialize(lookup, "lookup")
+    is_hot = F.col(frequency) > F.lit(share)
+    hot = lookup.filter(is_hot)
     frequent = rows.join(F.broadcast(hot), keys)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(lookup.filter(~is_hot), keys)
     return frequent.unionByName(rest)

@@ -10,7 +10,7 @@ from voicegrid.config import CALIBRATION_THRESHOLDS, CATEGORY_LABELS
 from voicegrid.operators import classify, components, dedupe, overrides, priority, summary
 from voicegrid.plans.registry import query
 from voicegrid.plans.text_queries import _TOKENS, STATS_CTE, UNI_CTE
-from voicegrid.session import materialize
+from voicegrid.session import materialize, spread
 from voicegrid.sources.samples import REVIEW_COLUMNS, Tables
 
 # --- classification --------------------------------------------------------------
@@ -336,7 +336,7 @@ PRIORITY_CTE = f"""units AS (SELECT app_id, toks, min(review_seq) AS duplicate_g
 
 def exact_groups(t: Tables):
     """Reviews with their group of exact copies."""
-    keyed = dedupe.with_unit(t.reviews()).withColumn("digest", dedupe.unit_digest(F.col("tokens"))).drop("tokens")
+    keyed = dedupe.with_unit(spread(t.reviews())).withColumn("digest", dedupe.unit_digest(F.col("tokens"))).drop("tokens")
     copies = dedupe.collapse_copies(t.reviews()).select(
         "app_id", dedupe.unit_digest(F.col("tokens")).alias("digest"),
         F.col("unit").alias("duplicate_group"), F.col("copies").alias("duplicate_count"),

@@ -61,9 +61,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a table of few large splits one partition per core before costly text work.
+    """Give a table of fewer files than cores one partition per core before costly text work.
 
-    Inputs with enough splits, as at scale, pass unchanged.
+    A file of one row group is one task, however many splits it has. Inputs of
+    many files, as at scale, pass unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
