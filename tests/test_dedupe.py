@@ -97,6 +97,12 @@ def test_hot_template_is_grouped_without_listing_its_pairs(spark):
     assert links < 20 * len(rows)
 
 
+def test_reviews_without_an_app_are_kept(spark):
+    rows = [(1, None, "add dark mode please"), (2, None, "add dark mode please"), (3, "a", "add dark mode please"), (4, "a", "so slow")]
+    got, _ = grouped(spark, rows)
+    assert got == {1: (1, 2), 2: (1, 2), 3: (1, 1), 4: (2, 1)}
+
+
 def test_threshold_moves_groups(spark):
     rows = [(1, "a", "add dark mode please now"), (2, "a", "add dark mode please"), (3, "a", "unrelated words entirely here"), (4, "a", "another thing")]
     strict, _ = grouped(spark, rows, threshold=0.99)

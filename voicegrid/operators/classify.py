@@ -15,6 +15,7 @@ from voicegrid.functions import numeric, text
 from voicegrid.operators.features import term_table
 from voicegrid.operators.intake import require_columns
 from voicegrid.operators.skew import join_frequent
+from voicegrid.session import materialize
 
 MAX_FEATURES = 30_000
 SOURCE = "xgboost"
@@ -75,7 +76,7 @@ def stratified_split(
     bounds = quotas.join(edges, column, "left").select(
         column, "label_rows", F.coalesce("_edge", F.lit("")).alias("_edge"), F.coalesce("_take", F.lit(0)).alias("_take")
     )
-    placed = join_frequent(keyed, bounds, [column], "label_rows")
+    placed = join_frequent(keyed, materialize(bounds, "bounds"), [column], "label_rows", stored=True)
     clear = placed.filter("_prefix <> _edge").withColumn("is_test", F.col("_prefix") < F.col("_edge"))
     rank = F.row_number().over(W.partitionBy(column, "_prefix").orderBy("_digest", seq))
     edge = placed.filter("_prefix = _edge").withColumn("is_test", rank <= F.col("_take"))
@@ -170,17 +171,18 @@ def route(df: DataFrame, threshold: float = DEFAULTS.classification_threshold, s
 
 
 def score(df: DataFrame, model: PipelineModel, threshold: float = DEFAULTS.classification_threshold,
-          seq: str = "review_seq", source: str = SOURCE) -> DataFrame:
-    """Add clean_text, category, prediction_confidence, vocabulary_hits and the routing columns."""
+          source: str = SOURCE) -> DataFrame:
+    """Add clean_text, category, prediction_confidence, vocabulary_hits and the routing columns; no shuffle."""
     require_columns(df, "review_text")
     check_width(model)
     scored = model.transform(with_terms(df)).withColumns({
         "category": F.col("predicted"),
         "prediction_confidence": confidence(vector_to_array("probability")),
+        # The count vector is sparse: its entries are the in-vocabulary terms of the row.
+        "vocabulary_hits": F.size(F.unwrap_udt("counts")["indices"]).cast("bigint"),
     })
-    kept = scored.select(*[c for c in df.columns if c not in ADDED], "clean_text", "category", "prediction_confidence")
-    vocabulary = df.sparkSession.createDataFrame([(t,) for t in vocabulary_of(model)], "term string")
-    return route(vocabulary_hits(kept, vocabulary, seq, "clean_text"), threshold, source)
+    kept = scored.select(*[c for c in df.columns if c not in ADDED], *ADDED[:4])
+    return route(kept, threshold, source)
 
 
 def train(dataset: DataFrame, seq: str = "review_seq", seed: int = 42, balanced: bool = False, **options):
@@ -191,8 +193,8 @@ def train(dataset: DataFrame, seq: str = "review_seq", seed: int = 42, balanced:
     train_rows = split.filter(~F.col("is_test"))
     weight = None
     if balanced:
-        weights = class_weights(train_rows)
-        train_rows = join_frequent(train_rows, weights, ["category"], "rows")
+        weights = materialize(class_weights(train_rows), "weights")
+        train_rows = join_frequent(train_rows, weights, ["category"], "rows", stored=True)
         weight = "class_weight"
     # The learner reads its rows once per iteration.
     train_rows = train_rows.persist()

@@ -129,7 +129,7 @@ def with_cosine(pairs: DataFrame, units: DataFrame) -> DataFrame:
     right = units.select(F.col("unit").alias("b"), F.col("vector").alias("right_vector"))
     left = units.select(F.col("unit").alias("a"), F.col("vector").alias("left_vector"))
     used = pairs.groupBy("a").agg(F.count("*").alias("uses"))
-    both = join_frequent(pairs.join(right, "b"), left.join(used, "a"), ["a"], "uses", hot_keys=HOT_VECTORS)
+    both = join_frequent(pairs.join(right, "b"), left.join(used, "a"), ["a"], "uses", hot_keys=HOT_VECTORS, counts=used)
     return both.withColumn("cosine", vectors.sparse_dot(F.col("left_vector"), F.col("right_vector"))).drop(
         "left_vector", "right_vector", "uses"
     )
@@ -196,23 +196,20 @@ def group_units(units: DataFrame, components: DataFrame) -> DataFrame:
         F.sum("copies").alias("duplicate_count"), F.count("*").alias("members")
     )
     numbered = number_rows(groups, ["app_id"], "component", "duplicate_group")
-    return join_frequent(labelled, numbered, ["app_id", "component"], "members").drop("members")
+    joined = join_frequent(labelled, numbered, ["app_id", "component"], "members", counts=groups)
+    return joined.drop("members")
 
 
-def trivial_apps(reviews: DataFrame) -> DataFrame:
-    """Apps with fewer than two reviews or with blank reviews only."""
+def app_table(reviews: DataFrame) -> DataFrame:
+    """Reviews per app; an app of one review or of blank reviews only is trivial."""
     worded = F.count_if(~text.is_blank(F.col("review_text")))
-    return (
-        reviews.groupBy("app_id")
-        .agg(F.count("*").alias("app_rows"), worded.alias("worded"))
-        .filter("app_rows < 2 OR worded = 0")
-        .select("app_id", "app_rows")
-    )
+    counted = reviews.groupBy("app_id").agg(F.count("*").alias("app_rows"), worded.alias("worded"))
+    return counted.select("app_id", "app_rows", F.expr("app_rows < 2 OR worded = 0").alias("trivial"))
 
 
 def trivial_groups(reviews: DataFrame, seq: str = "review_seq") -> DataFrame:
     """Rows of trivial apps: every row is its own group, counted from 0."""
-    rows = reviews.join(trivial_apps(reviews).select("app_id"), "app_id", "left_semi")
+    rows = reviews.join(app_table(reviews).filter("trivial").select("app_id"), "app_id", "left_semi")
     return number_rows(rows, ["app_id"], seq, "duplicate_group").withColumns({
         "duplicate_group": F.col("duplicate_group") - 1,
         "duplicate_count": F.lit(1).cast("bigint"),
@@ -228,13 +225,15 @@ def add_duplicate_groups(
     Needs `app_id`, `review_text` and a bigint `seq` that is unique over the table
     and gives the order of the reviews.
     """
+    # Reviews without an app form one app of their own; joins would lose a null key.
+    reviews = reviews.withColumns({"_app": F.col("app_id"), "app_id": F.coalesce("app_id", F.lit("\u0001none"))})
     units = materialize(collapse_copies(reviews, seq), "units")
     vectors_table = materialize(unit_vectors(units, threshold), "vectors")
     links = materialize(similarity_links(vectors_table, threshold).select("a", "b"), "links")
     components = connected_components(links)
     grouped = group_units(units, components)
-    trivial = trivial_apps(reviews)
-    flagged = grouped.join(trivial.select("app_id", F.lit(True).alias("trivial")), "app_id", "left")
+    apps = materialize(app_table(reviews), "apps")
+    flagged = join_frequent(grouped, apps, ["app_id"], "app_rows", stored=True)
     lookup = flagged.select(
         "app_id",
         unit_digest(F.col("tokens")).alias("unit_digest"),
@@ -245,4 +244,5 @@ def add_duplicate_groups(
     )
     lookup = materialize(lookup, "groups")
     keyed = with_unit(spread(reviews), seq).withColumn("unit_digest", unit_digest(F.col("tokens"))).drop("tokens")
-    return join_frequent(keyed, lookup, ["app_id", "unit_digest"], "copies", stored=True).drop("unit_digest", "copies")
+    joined = join_frequent(keyed, lookup, ["app_id", "unit_digest"], "copies", stored=True)
+    return joined.withColumn("app_id", F.col("_app")).drop("unit_digest", "copies", "_app")

@@ -125,7 +125,7 @@ def top_k_tfidf(
     scores = tfidf_scores(chunks, question, key, stopwords)
     best = scores.orderBy(F.desc(F.round("cosine", 12)), key).limit(limit)
     return (
-        best.join(chunks, key)
+        chunks.join(F.broadcast(best), key)
         .withColumn("score", numeric.round_even(F.col("cosine"), 4))
         .drop("cosine")
     )

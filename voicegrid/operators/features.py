@@ -10,7 +10,7 @@ from voicegrid.config import EMBEDDING_WIDTH
 from voicegrid.functions import text, vectors
 from voicegrid.functions.text import once
 from voicegrid.operators.skew import join_frequent
-from voicegrid.session import spread
+from voicegrid.session import materialize, spread
 
 NUMERIC_FEATURES = ("rating", "thumbs_up", "review_length", "word_count", "has_reply")
 
@@ -76,7 +76,8 @@ def tfidf(docs: DataFrame, vocabulary: DataFrame, key: str, column: str, use_sub
     sends the most frequent terms to the documents instead of the reverse.
     """
     terms = term_table(docs, key, column, **options)
-    joined = join_frequent(terms, vocabulary.select("term", "df", "idf"), ["term"], "df")
+    known = materialize(vocabulary.select("term", "df", "idf"), "vocabulary")
+    joined = join_frequent(terms, known, ["term"], "df", stored=True)
     tf = sublinear(F.col("tf")) if use_sublinear else F.col("tf")
     return normalized(joined.select(key, "term", (tf * F.col("idf")).alias("weight")), key)
 

@@ -39,12 +39,13 @@ def top_n_per_key(
 
 def join_frequent(
     rows: DataFrame, lookup: DataFrame, keys: Sequence[str], frequency: str,
-    hot_keys: int = HOT_KEYS, stored: bool = False,
+    hot_keys: int = HOT_KEYS, stored: bool = False, counts: DataFrame | None = None,
 ) -> DataFrame:
     """Inner join of a long table to a lookup with one row per key.
 
     `frequency` tells how many of `rows` carry the key. One small aggregation
-    over the lookup decides:
+    over the lookup (or over `counts`, a cheaper table with the same keys and
+    frequencies) decides:
 
     * at most `hot_keys` rows: broadcast;
     * no key above 1/hot_keys of all rows: plain shuffle join;
@@ -52,7 +53,7 @@ def join_frequent(
       `hot_keys`, are broadcast, and the others are shuffled.
     """
     keys = list(keys)
-    size, total, top = lookup.agg(
+    size, total, top = (lookup if counts is None else counts).agg(
         F.count("*"), F.coalesce(F.sum(frequency), F.lit(0)), F.coalesce(F.max(frequency), F.lit(0))
     ).first()
     if size <= hot_keys:

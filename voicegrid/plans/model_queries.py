@@ -341,7 +341,8 @@ def exact_groups(t: Tables):
         "app_id", dedupe.unit_digest(F.col("tokens")).alias("digest"),
         F.col("unit").alias("duplicate_group"), F.col("copies").alias("duplicate_count"),
     )
-    return dedupe.join_frequent(keyed, copies, ["app_id", "digest"], "duplicate_count").drop("digest")
+    stored = materialize(copies, "copies")
+    return dedupe.join_frequent(keyed, stored, ["app_id", "digest"], "duplicate_count", stored=True).drop("digest")
 
 
 def prioritized(t: Tables):
