@@ -31,21 +31,26 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Folder of a local session without `spark.checkpoint.dir`: that option can't be set on a running session.
+_local_folder: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: `spark.checkpoint.dir` as the cluster names it.
 
     Without that setting a folder is made only for a local master, where driver
     and executors share one machine.
     """
+    global _local_folder
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="voicegrid-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="voicegrid-")
+    return _local_folder
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
