@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from voicegrid.llm import exact_dedup, simhash
+from voicegrid.llm import exact_dedup, secrets, simhash
 from voicegrid.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,41 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
 
+def _span_sql(number: int, rule: secrets.Rule) -> str:
+    """List of (start, rank, kind, end) of one rule."""
+    pattern = rule.pattern.replace("'", "''")
+    return f"""list_filter(list_transform(range(len(regexp_extract_all(t, '{pattern}'))), lambda i: {{
+ 'start': list_sum(list_transform(regexp_split_to_array(t, '{pattern}')[1:i + 1], lambda x: length(x)))
+  + coalesce(list_sum(list_transform(regexp_extract_all(t, '{pattern}')[1:i], lambda x: length(x))), 0), 'rank': {number}, 'kind': '{rule.kind}',
+ 'n': length(regexp_extract_all(t, '{pattern}')[i + 1]), 'c': length(regexp_extract_all(t, '{pattern}', {rule.group})[i + 1])}}),
+ lambda s: s.c >= {rule.least})"""
+
+
+_JOINED = "array_to_string(list_transform({}, lambda s: s.kind || ':' || s.start::BIGINT || ':' || (s.start + s.n)::BIGINT), ',')"
+SECRET_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ s AS (SELECT doc_id, list_sort(flatten([{', '.join(_span_sql(n, r) for n, r in enumerate(secrets.RULES))}])) AS spans FROM d)
+SELECT doc_id, {', '.join(f"len(list_filter(spans, lambda s: s.kind = '{k}'))::BIGINT AS n_{k}" for k in ('assign', 'access', 'hex'))},
+ sha256({_JOINED.format("list_filter(spans, lambda s: s.rank < 3)")}) AS base_sha256, {_JOINED.format("spans")} AS spans FROM s"""
+
+
+@query("op8_secret_scan", SECRET_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document, with the digest of the base rules' spans."""
+    found = secrets.secret_spans(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    base = [r.kind for r in secrets.BASE_RULES]
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def of(kinds):
+        return F.filter("spans", lambda s: s["kind"].isin(kinds))
+
+    return found.select(
+        "doc_id", *[F.size(of([k])).cast("bigint").alias(f"n_{k}") for k in base],
+        F.sha2(joined(of(base)).cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"),
+    )
+
+
 @query("op10_simhash")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its fingerprint and near-duplicate class."""

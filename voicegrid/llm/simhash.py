@@ -90,32 +90,33 @@ def shards(codes: DataFrame, radius: int, cap: int = TREE_CAP, small: int = SMAL
     """(fp, mask, code): every fingerprint in the shards where its partners can be.
 
     Shard sizes are counted before any row moves; members of shards above `cap` go to the shards of the next
-    level instead. Shards of a mask with no more than `radius` free bits hold at most 2^radius fingerprints.
+    level instead.
     """
-    level = {m: child_masks(m, radius) for m in child_masks(0, radius)}
-    rows = codes.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in level])).alias("mask"))
-    rows = rows.withColumn("code", F.col("fp").bitwiseAND(F.col("mask")))
+    if cap < 1 << radius:
+        raise ValueError("a shard that can't be dealt again holds up to 2^radius fingerprints")
+    spark, mask64 = codes.sparkSession, (1 << BITS) - 1
+    first = F.array(*[F.lit(_signed(m)) for m in child_masks(0, radius)])
+    rows = codes.select("fp", F.explode(first).alias("mask")).withColumn("code", F.col("fp").bitwiseAND(F.col("mask")))
     done = None
     while True:
-        split = [m for m, below in level.items() if below]
         large = rows.groupBy("mask", "code").agg(F.count("*").alias("members")).filter(F.col("members") > cap)
-        large = materialize(large.filter(F.col("mask").isin([_signed(m) for m in split])).select("mask", "code"), "large-shards")
+        large = materialize(large.select("mask", "code"), "large-shards")
         count = large.count()
         if count == 0:
             return rows if done is None else done.unionByName(rows)
         known = F.broadcast(large) if count <= small else large
         settled = rows.join(known, ["mask", "code"], "left_anti")
         done = settled if done is None else done.unionByName(settled)
-        steps = F.create_map(*[
-            x for m in split for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(c)) for c in level[m]]))
-        ])
+        # A level has at most (radius + 1) times the masks of the one above, whatever the input.
+        masks = [r["mask"] for r in large.select("mask").distinct().collect()]
+        steps = spark.createDataFrame(
+            [(m, _signed(c)) for m in masks for c in child_masks(m & mask64, radius)], "mask bigint, child bigint"
+        )
         rows = materialize(
-            rows.join(known, ["mask", "code"], "left_semi")
-            .select("fp", F.explode(steps[F.col("mask")]).alias("mask"))
-            .withColumn("code", F.col("fp").bitwiseAND(F.col("mask"))),
+            rows.join(known, ["mask", "code"], "left_semi").join(F.broadcast(steps), "mask")
+            .select("fp", F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("code")),
             "shard-rows",
         )
-        level = {c: child_masks(c, radius) for m in split for c in level[m]}
 
 
 def tree_links(members: Sequence[int], radius: int) -> list[tuple[int, int]]:
