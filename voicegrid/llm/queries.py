@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import zlib
+from collections.abc import Callable, Iterator
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
-from voicegrid.llm import exact_dedup, secrets, simhash
+from voicegrid.llm import bpe, exact_dedup, packing, secrets, simhash, training_order
 from voicegrid.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +86,52 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its fingerprint and near-duplicate class."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def with_crc(rows: DataFrame, name: str) -> DataFrame:
+    """The column `ids` replaced by the CRC-32 of its bytes."""
+    at = rows.columns.index("ids")
+    names = [name if c == "ids" else c for c in rows.columns]
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            columns = list(part.columns)
+            columns[at] = pa.array([zlib.crc32(x.as_py()) for x in columns[at]], pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kinds = dict(rows.dtypes) | {"ids": "bigint"}
+    return rows.mapInArrow(batches, ", ".join(f"`{n}` {kinds[c]}" for n, c in zip(names, rows.columns)))
+
+
+@query("op2_packing")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document with its place in the packed sequences."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return with_crc(packing.pack(table(spark, folder, "documents"), path), "ids_crc32")
+
+
+@query("op5_bpe")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of every document's ids and of the text decoded from them."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    decoded = bpe.decode(bpe.encode(table(spark, folder, "documents"), path), path)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ids = [x.as_py() for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays([
+                part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+                pa.array([hashlib.sha256(x.as_py().encode()).hexdigest() for x in part.column(2)]),
+            ], names=names)
+
+    return decoded.mapInArrow(batches, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+@query("op6_training_order")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sequence of the shards written in training order, as read back from them."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    target, _ = training_order.write_shards(table(spark, folder, "documents"), path, end_id=50256)
+    return with_crc(training_order.read_shards(spark, target), "ids_crc32")
