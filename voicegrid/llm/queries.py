@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voicegrid.llm import bpe, exact_dedup, packing, secrets, simhash, training_order
+from voicegrid.llm import ann, bpe, exact_dedup, langid, licenses, packing, quality, secrets, simhash, training_order
 from voicegrid.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,59 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     target, _ = training_order.write_shards(table(spark, folder, "documents"), path, end_id=50256)
     return with_crc(training_order.read_shards(spark, target), "ids_crc32")
+
+
+@query("op4_ann")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors found for every 20th vector."""
+    vectors = table(spark, folder, "embeddings")
+    index, longest = ann.build_index(vectors)
+    asked = ann.usable(vectors, "vec_id", "embedding").filter("vec_id % 20 = 0")
+    return ann.search(index, longest, asked)
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document: its text, its declared language, and its source as the host."""
+    docs = table(spark, folder, "documents")
+    found = langid.identify(docs, langid.fit(docs), declared="lang", host="source")
+    return found.select("doc_id", "language", "confidence", "text_language", "rejected")
+
+
+@query("page_languages")
+def page_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every web page: its text, the lang attribute, the address suffix and the host."""
+    pages = langid.page_evidence(table(spark, folder, "pages"))
+    model = langid.fit(table(spark, folder, "documents"))
+    found = langid.identify(pages, model, declared="declared", host="host", suffix="suffix")
+    return found.select("page_id", "language", "confidence", "text_language", "rejected")
+
+
+@query("op3_quality")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Weak label and score of every document."""
+    return quality.score(table(spark, folder, "documents"))
+
+
+def _license_lines(text: str) -> str:
+    sql = f"translate(coalesce({text}, ''), '{licenses.UPPER}', '{licenses.UPPER.lower()}')"
+    sql = f"regexp_replace({sql}, '{licenses.COPYRIGHT_LINE}', '', 'g')"
+    for spelling, form in licenses.EQUIVALENT:
+        sql = f"replace({sql}, '{spelling}', '{form}')"
+    sql = f"regexp_replace({sql}, '{licenses.PUNCTUATION}', ' ', 'g')"
+    return f"list_filter(list_transform(string_split({sql}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+_KNOWN_SQL = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in licenses.KNOWN)
+LICENSE_SQL = f"""WITH k AS (SELECT DISTINCT license_id, sha256(array_to_string({_license_lines('text')}, ' ')) AS license_sha256
+ FROM (VALUES {_KNOWN_SQL}) AS v(license_id, text)),
+ d AS (SELECT doc_id, {_license_lines('text')} AS lines FROM documents),
+ u AS (SELECT doc_id, 'document' AS scope, sha256(array_to_string(lines, ' ')) AS license_sha256 FROM d WHERE len(lines) > 0
+ UNION ALL SELECT doc_id, 'line', sha256(x) FROM (SELECT doc_id, unnest(list_distinct(lines)) AS x FROM d))
+SELECT doc_id, scope, license_id, license_sha256 FROM u JOIN k USING (license_sha256)"""
+
+
+@query("op7_license_scan", LICENSE_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Known licences that a document, or a line of it, states."""
+    return licenses.scan(table(spark, folder, "documents"))

@@ -151,8 +151,11 @@ def read_shards(
 ) -> DataFrame:
     """(slot, shard, offset, doc_id, start, tokens, ids) from `first_slot` on; earlier shards are not opened."""
     stride = HEAD_SIZE + 2 * length + 1
-    files = spark.read.format("binaryFile").schema("path string, content binary, shard bigint").load(folder)
-    files = files.filter(F.col("shard") >= first_slot // shard_rows).select("shard", "content")
+    schema = "slot bigint, shard bigint, offset bigint, doc_id bigint, start bigint, tokens int, ids binary"
+    files = spark.read.format("binaryFile").load(folder)
+    if "shard" not in files.columns:
+        return spark.createDataFrame([], schema)
+    files = files.filter(F.col("shard") >= first_slot // shard_rows).select(F.col("shard").cast("bigint"), "content")
     names = ["slot", "shard", "offset", "doc_id", "start", "tokens", "ids"]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,4 +177,4 @@ def read_shards(
                 kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return files.mapInArrow(batches, "slot bigint, shard bigint, offset bigint, doc_id bigint, start bigint, tokens int, ids binary")
+    return files.mapInArrow(batches, schema)
