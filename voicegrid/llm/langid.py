@@ -7,7 +7,8 @@ Four kinds of evidence are combined for every row:
   per suffix and host by grouped aggregation over all rows; a host's prior is smoothed by its suffix's, a suffix's by that of
   all rows, and the row's own share is taken out.
 
-A flat background model stands for "none of the languages". A row is rejected if it holds no letter, if the background wins, or if the
+A flat background model stands for "none of the languages". A row is rejected if it holds no letter outside
+chunks with digits, if the background wins, or if the
 best language is less than `least` likely. Missing declaration, suffix or host leave their evidence out (a null host or suffix shares the
 prior above it); a declared language that no labelled row has is no evidence. Null texts count as empty and are rejected. Repeated rows
 are kept. An empty table gives an empty result. Without labelled rows every row is rejected.
@@ -16,6 +17,7 @@ A host may hold a third of all rows: sums are combined before the shuffle, and f
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,6 +49,16 @@ class TextModel:
     table: np.ndarray  # trigram bucket by language: log probabilities
 
 
+# Chunks with a digit or an address sign are no language; other ASCII signs count as spaces.
+_NO_LANGUAGE = re.compile(rb"[^\x00-\x20]*[0-9@][^\x00-\x20]*")
+_SIGNS = bytes(b if chr(b).isalpha() or b > 127 else 32 for b in range(256))
+
+
+def readable(text: bytes) -> bytes:
+    """The letters of a text that can tell its language."""
+    return _NO_LANGUAGE.sub(b" ", text).translate(_SIGNS)
+
+
 def fit(labelled: DataFrame, text: str = "text", language: str = "lang", rows_each: int = FIT_ROWS, bits: int = BITS) -> TextModel:
     """Text model of the languages of `labelled`; per language the `rows_each` rows first in a fixed random order count."""
     rows = labelled.select(F.col(language).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
@@ -58,7 +70,7 @@ def fit(labelled: DataFrame, text: str = "text", language: str = "lang", rows_ea
         for part in parts:
             sums: dict[str, np.ndarray] = {}
             for lang, value in zip(part.column(0).to_pylist(), part.column(1)):
-                found = np.bincount(trigram_buckets(value.as_py(), bits), minlength=1 << bits)
+                found = np.bincount(trigram_buckets(readable(value.as_py()), bits), minlength=1 << bits)
                 sums[lang] = sums.get(lang, 0) + found
             for lang, row in sums.items():
                 at = np.flatnonzero(row)
@@ -84,15 +96,13 @@ def with_text_evidence(rows: DataFrame, model: TextModel, text: str, name: str,
     bits = int(np.log2(len(model.table)))
     sent = rows.sparkSession.sparkContext.broadcast(model.table)  # 2^bits by languages, whatever the input
     flat, count = -bits * np.log(2.0), len(model.languages)
-    letters = np.zeros(256, dtype=bool)
-    letters[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
     @F.pandas_udf("array<double>")
     def evidence(texts):
         table, out = sent.value, []
         for value in texts:
             raw = bytes(value)
-            if not count or not letters[np.frombuffer(raw, dtype=np.uint8)].any():
+            if not count or not raw.strip():
                 out.append([])
                 continue
             at = trigram_buckets(raw, bits)
