@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +36,17 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """`df` with a row number that stays the same in later reads: written once, with the number."""
-    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+def with_row_id(df: DataFrame, name: str) -> DataFrame:
+    """`df` with a column that names each row and stays the same in later reads.
+
+    Rows of a file are named by file and place. Other rows are written once, with a number.
+    """
+    try:
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        return df.select("*", place.alias(name))
+    except AnalysisException:
+        place = F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
+        return materialize(df.withColumn(name, place), "numbered")
 
 
 def lookup_left(
@@ -61,9 +70,9 @@ def lookup_left(
     return frequent.unionByName(rest)
 
 
-def drop_numbers(docs: DataFrame, dropped: DataFrame, number: str, small: int = SMALL_ROWS) -> DataFrame:
-    """`docs` without the rows whose unique `number` is in `dropped`; broadcast only if small."""
-    dropped = materialize(dropped.select(number), "dropped")
+def drop_rows(docs: DataFrame, dropped: DataFrame, row_id: str, small: int = SMALL_ROWS) -> DataFrame:
+    """`docs` without the rows whose `row_id` is in `dropped`; that is broadcast only if it is small."""
+    dropped = materialize(dropped.select(row_id), "dropped")
     if dropped.count() <= small:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, number, "left_anti")
+    return docs.join(dropped, row_id, "left_anti")

@@ -50,21 +50,25 @@ class TextModel:
 
 
 # Chunks with a digit or an address sign are no language; other ASCII signs count as spaces.
-_NO_LANGUAGE = re.compile(rb"[^\x00-\x20]*[0-9@][^\x00-\x20]*")
+_NO_LANGUAGE = re.compile(rb"(?<![^\x00-\x20])[^\x00-\x20]*[0-9@][^\x00-\x20]*")
 _SIGNS = bytes(b if chr(b).isalpha() or b > 127 else 32 for b in range(256))
 
 
 def readable(text: bytes) -> bytes:
     """The letters of a text that can tell its language."""
-    return _NO_LANGUAGE.sub(b" ", text).translate(_SIGNS)
+    return b" ".join(_NO_LANGUAGE.sub(b" ", text).translate(_SIGNS).split())
 
 
 def fit(labelled: DataFrame, text: str = "text", language: str = "lang", rows_each: int = FIT_ROWS, bits: int = BITS) -> TextModel:
     """Text model of the languages of `labelled`; per language the `rows_each` rows first in a fixed random order count."""
     rows = labelled.select(F.col(language).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    order = W.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = rows.distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows_each)
-    sample = sample.select("lang", F.col("text").cast("binary"))
+    # Hashes are ranked, not texts; the chosen ones are at most rows_each per language.
+    order = W.partitionBy("lang").orderBy("h")
+    keyed = rows.withColumn("h", F.xxhash64("text"))
+    chosen = keyed.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows_each)
+    chosen = materialize(chosen.select("lang", "h"), "language-sample")
+    sample = keyed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    sample = sample.select("lang", F.col("text").cast("binary").alias("text"))
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -147,7 +151,6 @@ def identify(
         name["host"]: F.col(host).cast("string") if host else null,
         name["suffix"]: F.col(suffix).cast("string") if suffix else null,
     }).withColumn(name["first"], _softmax(F.col(name["joint"])))
-    scored = materialize(scored, "language-evidence")
     part = lambda c, i: F.coalesce(F.get(c, F.lit(i)), F.lit(0.0))
     first, shost, ssuffix = F.col(name["first"]), F.col(name["host"]), F.col(name["suffix"])
     by_host = scored.groupBy(ssuffix.alias("s"), shost.alias("h")).agg(
