@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voicegrid.llm import langid, packing, secrets, simhash
-from voicegrid.llm.common import drop_numbers, free_name, numbered, prepare
+from voicegrid.llm.common import drop_rows, free_name, prepare, with_row_id
 from voicegrid.llm.exact_dedup import exact_dedup
 from voicegrid.session import shared_dir
 
@@ -31,16 +31,16 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Of documents with equal texts (but for white space) the one with the smallest id stays."""
     prepare(spark)
     row = free_name(docs, "_row")
-    stored = numbered(docs, row)
+    stored = with_row_id(docs, row)
     found = exact_dedup(stored, carry=[row])
-    return drop_numbers(stored, found.filter("NOT kept"), row).select(*docs.columns)
+    return drop_rows(stored, found.filter("NOT kept"), row).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates the document with the smallest id stays."""
     prepare(spark)
     row = free_name(docs, "_row")
-    stored = numbered(docs, row)
+    stored = with_row_id(docs, row)
     found = simhash.near_duplicates(stored, carry=[row])
     alone = found.filter("doc_id IS NULL OR doc_id <> component_id")
     # Rows that repeat the id of a group's first one, and groups without any id: the first row stays.
@@ -48,7 +48,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     more = found.filter("doc_id = component_id").join(first.filter("held > 1"), "component_id").filter(F.col(row) != F.col("first"))
     nameless = found.filter("component_id IS NULL").groupBy("fingerprint").agg(F.min(row).alias(row))
     drop = alone.select(row).join(nameless.select(row), row, "left_anti").unionByName(more.select(row))
-    return drop_numbers(stored, drop, row).select(*docs.columns)
+    return drop_rows(stored, drop, row).select(*docs.columns)
 
 
 def secret_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
