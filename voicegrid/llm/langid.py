@@ -105,7 +105,7 @@ def with_text_evidence(rows: DataFrame, model: TextModel, text: str, name: str,
     def evidence(texts):
         table, out = sent.value, []
         for value in texts:
-            raw = bytes(value)
+            raw = readable(bytes(value))
             if not count or not raw.strip():
                 out.append([])
                 continue
