@@ -57,11 +57,24 @@ def test_stream_reads_each_review_once(spark, tmp_path):
     writers._writer(review_frame(spark), "csv").mode("append").save(str(pages))
     writers._writer(review_frame(spark), "csv").mode("append").save(str(pages))
     for _ in range(2):
-        rows = stream.once_per_review(stream.review_pages(spark, str(pages)))
+        rows = stream.review_pages(spark, str(pages))
         stream.append_raw(rows, out, str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(out).count() == 2
 
 
+@pytest.mark.parametrize("pages_per_batch", [1, 200])
+def test_stream_keeps_late_and_undated_reviews(spark, tmp_path, pages_per_batch):
+    pages, out = tmp_path / "pages", str(tmp_path / "raw")
+    frame = review_frame(spark).limit(1)
+    for date in ("2024-06-01 00:00:00", "2024-03-01 00:00:00", "2024-01-01 00:00:00", None):
+        dated = frame.withColumn("review_date", F.lit(date).cast(frame.schema["review_date"].dataType))
+        writers._writer(dated, "csv").mode("append").save(str(pages))
+    for _ in range(2):
+        rows = stream.review_pages(spark, str(pages), pages_per_batch=pages_per_batch)
+        stream.append_raw(rows, out, str(tmp_path / "state")).awaitTermination()
+    assert spark.read.parquet(out).count() == 4
+
+
 def test_model_trains_scores_and_survives_storage(spark, tmp_path):
     words = {"Bug": "crash freeze error screen", "Praise": "love lovely smooth wonderful"}
     rows = [(i, f"{words[c]} sample {i % 5}", c) for i, c in enumerate(["Bug", "Praise"] * 30)]

@@ -100,7 +100,7 @@ def fit(train_rows: DataFrame, label: str = "category", weight: str | None = Non
     )
     if weight:
         learner = learner.setWeightCol(weight)
-    indexer = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep")
+    indexer = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="error")
     labels = indexer.fit(train_rows)
     stages = [
         CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=max_features, minDF=float(min_df)),

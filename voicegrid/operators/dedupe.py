@@ -102,10 +102,11 @@ def unit_vectors(units: DataFrame, threshold: float = DEFAULTS.dedupe_threshold)
     shared = join_frequent(
         terms.drop("app_rows", "copies"), lookup, ["k1", "k2"], "units", hot_keys=HOT_TERMS, stored=True
     )
-    # One order for both windows, so the rows are sorted once.
-    ordered = W.partitionBy("unit").orderBy("df", "k1", "k2")
+    # One order for both windows, so the rows are sorted once. The sum from a term on is a running sum over
+    # the reversed order: linear in the terms of a unit.
+    ordered = W.partitionBy("unit").orderBy(F.desc("df"), F.desc("k1"), F.desc("k2"))
     whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    onwards = ordered.rowsBetween(W.currentRow, W.unboundedFollowing)
+    onwards = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
     square = F.col("tf") * F.col("tf") * F.col("idf") * F.col("idf")
     surplus = F.col("tf") * F.col("tf") * F.col("alone") * F.col("alone")
     placed = shared.select(
