@@ -229,7 +229,7 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, docs, tmp_path):
     assert len(kept) == len(set(kept))
     ids = {i and i - 100_000 for i, _ in kept}
     assert ids >= {1, None, 5, 6, 7} and not ids & {2, 3, 4, 9}
-    assert dict(kept)[100_006] == "The end of the [SECRET] and this is the rest of the text."
+    assert dict(kept)[100_006] == 'The end of the [SECRET]" and this is the rest of the text.'
     # Brute force: no two kept texts are equal or near copies, and every other kept text is a given one.
     prints = [simhash.fingerprint(t.encode()) for _, t in kept]
     assert all((a ^ b).bit_count() > 4 for n, a in enumerate(prints) for b in prints[:n])
