@@ -236,3 +236,14 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, docs, tmp_path):
     pieces = stage.collect()
     assert {r.doc_id for r in pieces} == {i for i, _ in ((r.doc_id, 0) for r in rows)}
     assert all(zlib.crc32(bytes(r.ids)) >= 0 and len(r.ids) == 4 * r.length for r in pieces)
+
+
+def test_packing_ids_by_pieces_equal_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own, chance = Tokenizer.from_file(path), packing.WordIds(path), random.Random(5)
+    letters = "aAsStTdDlLmMvVeErR'’.,!?09_-# ßÀÿçÉ÷×ªº~`\"\x7f\xa0ΣİIñ́\t\n"
+    for _ in range(3000):
+        text = "".join(chance.choice(letters) for _ in range(chance.randint(0, 20)))
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == ids, text
+    assert own.pieces

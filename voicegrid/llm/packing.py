@@ -15,12 +15,15 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -33,29 +36,67 @@ WINDOW = 2048
 GAP = 16
 STEPS = 400
 WORDS_KEPT = 400_000
+LONGEST_KEPT = 64
 # Python counts these as white space, the tokenizer files don't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
+# Signs, digits and Latin-1 letters: composed already, and lower-cased one by one.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def piece_pattern(path: str) -> regex.Pattern | None:
+    """The pattern that cuts lower-cased plain text into pieces coded one by one, where the tokenizer file works that way."""
+    with open(path, encoding="utf-8") as file:
+        stated = json.load(file)
+    normal = (stated["normalizer"] or {}).get("normalizers", [])
+    cuts = (stated["pre_tokenizer"] or {}).get("pretokenizers", [])
+    lowers = [n["type"] for n in normal] == ["NFC", "Replace", "Lowercase"] and normal[1]["pattern"] == {"Regex": "\\s+"}
+    if not lowers or [c["type"] for c in cuts] != ["Split", "ByteLevel"] or cuts[1]["add_prefix_space"] or cuts[1]["use_regex"]:
+        return None
+    split = cuts[0]
+    if (split["behavior"], split["invert"]) != ("Removed", True) or "Regex" not in split["pattern"]:
+        return None
+    return regex.compile(split["pattern"]["Regex"])
+
+
 class WordIds(dict):
     """Ids of one part between white space, by the tokenizers library; parts of a text don't influence each other.
 
     Holds for tokenizers that normalise without crossing white space and drop it before splitting into words.
+    Parts come with many cases and signs around fewer words, so the words inside a part have a store of their own.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pattern = piece_pattern(path)
+        self.pieces: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        packed = self.whole(part)
+        packed = self.by_pieces(part) if self.pattern and PLAIN.fullmatch(part) else self.whole(part)
         if len(self) >= WORDS_KEPT:
             self.clear()
-        if len(part) <= 64:
+        if len(part) <= LONGEST_KEPT:
             self[part] = packed
         return packed
 
+    def by_pieces(self, part: str) -> bytes:
+        out = []
+        for piece in self.pattern.findall(part.lower()):
+            packed = self.pieces.get(piece)
+            if packed is None:
+                packed = self.whole(piece)
+                if len(self.pieces) >= WORDS_KEPT:
+                    self.pieces.clear()
+                if len(piece) <= LONGEST_KEPT:
+                    self.pieces[piece] = packed
+            out.append(packed)
+        return b"".join(out)
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
