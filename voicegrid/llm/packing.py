@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from voicegrid.session import materialize
 
@@ -75,6 +76,9 @@ class WordIds(dict):
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern = piece_pattern(path)
         self.pieces: dict[str, bytes] = {}
+        byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        plain = filter(PLAIN.fullmatch, map(chr, range(256)))
+        self.bytewise = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in plain}
 
     def __missing__(self, part: str) -> bytes:
         packed = self.by_pieces(part) if self.pattern and PLAIN.fullmatch(part) else self.whole(part)
@@ -89,7 +93,9 @@ class WordIds(dict):
         for piece in self.pattern.findall(part.lower()):
             packed = self.pieces.get(piece)
             if packed is None:
-                packed = self.whole(piece)
+                # A piece is already normalised and split, so it goes to the merges at once.
+                found = self.tokenizer.model.tokenize(piece.translate(self.bytewise))
+                packed = np.array([t.id for t in found], dtype="<u4").tobytes()
                 if len(self.pieces) >= WORDS_KEPT:
                     self.pieces.clear()
                 if len(piece) <= LONGEST_KEPT:
