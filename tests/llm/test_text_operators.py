@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -100,6 +102,17 @@ def test_feistel_is_a_permutation(total):
         assert (training_order.feistel(np.arange(total), total, 1) != training_order.feistel(np.arange(total), total, 2)).any()
 
 
+@given(st.text(max_size=200) | st.text(alphabet=" \n\tab'1é<|endoftext|>", max_size=200))
+@settings(max_examples=200, deadline=None)
+def test_stream_ids_equal_the_library(text):
+    assert training_order.stream_ids(BYTES).encode(text).tolist() == bpe.library_encode(BYTES, text)
+
+
+def test_stream_ids_of_very_long_runs():
+    for text in (" " * 1_100_000 + "x", "a" * 300_000, "", "a<|endoftext|> b"):
+        assert training_order.stream_ids(BYTES).encode(text).tolist() == bpe.library_encode(BYTES, text)
+
+
 def test_shards_hold_the_stream_and_resume(spark, docs):
     folder, total = training_order.write_shards(docs, BYTES, 50256, length=64, shard_rows=16)
     rows = training_order.read_shards(spark, folder, length=64, shard_rows=16).collect()

@@ -14,20 +14,24 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voicegrid.llm.bpe import encoder
+from voicegrid.llm.bpe import byte_letters, encoder
 from voicegrid.llm.common import SMALL_ROWS
 from voicegrid.session import materialize, shared_dir
 
@@ -40,6 +44,39 @@ HEAD_SIZE = struct.calcsize(HEAD)
 NO_DOC = -(1 << 63)
 
 
+class StreamIds:
+    """Whole texts to ids by the tiktoken library, with the ranks of a byte-level BPE file whose merges are in the order of their ids.
+
+    A run of white space too long for its pattern goes to the automaton, which gives the same ids.
+    """
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        vocabulary = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
+        made = [vocabulary[a + b] for a, b in pairs]
+        if made != sorted(set(made)) or len(made) + 256 != len(vocabulary):
+            raise ValueError("ids must follow the order of the merges")
+        byte_of = {c: b for b, c in enumerate(byte_letters())}
+        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in vocabulary.items()}
+        self.path = path
+        self.library = tiktoken.Encoding("stream", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(self, text: str) -> np.ndarray:
+        try:
+            return self.library.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            return np.frombuffer(encoder(self.path).encode(text), dtype="<u4")
+
+
+@lru_cache(maxsize=2)
+def stream_ids(path: str) -> StreamIds:
+    """One per Python worker; the file is at the same path on every machine."""
+    return StreamIds(path)
+
+
 def _mixed(x: np.ndarray, key: int) -> np.ndarray:
     """A 64-bit mixing function of x under a key (multiply and xor-shift)."""
     x = (x + np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15)
@@ -66,10 +103,9 @@ def feistel(index: np.ndarray, total: int, key: int = KEY, rounds: int = ROUNDS)
 def sequences(docs: DataFrame, path: str, end_id: int, length: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Stored (task, number, record): the records of every task in the order of its rows."""
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, task, number = encoder(path), TaskContext.get().partitionId(), 0
+        own, task, number = stream_ids(path), TaskContext.get().partitionId(), 0
         stream, heads = [], []  # ids not yet cut, and (place in them, doc_id)
         held = 0
 
@@ -106,8 +142,8 @@ def sequences(docs: DataFrame, path: str, end_id: int, length: int, id_column: s
 
         for part in parts:
             for doc, value in zip(part.column(0), part.column(1)):
-                ids = np.frombuffer(own.encode(value.as_py()) + end, dtype="<u4")
-                if len(ids) and int(ids.max()) >> 16:
+                ids = np.append(own.encode(value.as_py()), np.uint32(end_id))
+                if int(ids.max()) >> 16:
                     raise ValueError("ids above 65535 don't fit the record")
                 heads.append((held, doc.as_py()))
                 stream.append(ids.astype("<u2"))
