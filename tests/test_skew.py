@@ -33,11 +33,28 @@ def test_join_frequent_takes_all_three_ways(spark):
 
 def test_number_rows_is_dense_and_ordered(spark):
     rows = hot_rows(spark).withColumn("seq", F.col("id") * 1_000_003 - 500)
-    frame = skew.number_rows(rows, ["k"], "seq", "n", blocks=13).toPandas().sort_values("seq")
+    frame = skew.number_rows(rows, ["k"], "seq", "n").toPandas().sort_values("seq")
     for _, part in frame.groupby("k"):
         assert list(part["n"]) == list(range(1, len(part) + 1))
 
 
+def test_one_outlier_does_not_fill_a_range(spark):
+    rows = spark.range(40_000).withColumn("k", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)))
+    rows = rows.withColumn("seq", F.when(F.col("id") == 7, 1 << 60).otherwise(F.col("id"))).withColumn("one", F.lit(1).cast("bigint"))
+    depths = [r["count"] for r in skew.depth_ranges(rows, ["k"], ["seq"]).groupBy("_range").count().collect()]
+    assert len(depths) == 8 and max(depths) <= 2 * sum(depths) / len(depths)
+    frame = skew.number_rows(rows, ["k"], "seq", "n").toPandas().sort_values("seq")
+    for _, part in frame.groupby("k"):
+        assert list(part["n"]) == list(range(1, len(part) + 1))
+
+
+def test_running_sums_by_key(spark):
+    rows = hot_rows(spark).withColumn("v", F.col("id") % 7)
+    frame = skew.running_sums(rows, ["k"], [F.desc("id")], "v", "before").toPandas().sort_values("id", ascending=False)
+    for _, part in frame.groupby("k"):
+        assert list(part["before"]) == list(part["v"].cumsum() - part["v"])
+
+
 def test_number_rows_of_nothing(spark):
     empty = spark.createDataFrame([], "k string, seq long")
     assert skew.number_rows(empty, ["k"], "seq", "n").count() == 0

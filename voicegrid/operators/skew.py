@@ -70,30 +70,39 @@ def join_frequent(
     return frequent.unionByName(rest)
 
 
-def number_rows(
-    df: DataFrame, keys: Sequence[str], order: str, name: str, blocks: int = 4096
+def depth_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "_range") -> DataFrame:
+    """Stored `df` with the number of the row's range in the order by `keys`, then `order`.
+
+    Cut points are quantiles that Spark samples from the rows, so all ranges are of about one depth whatever the gaps and
+    outliers of the order, and a key spans as many ranges as it needs. `df` is read twice, so it should be stored.
+    """
+    return materialize(df.repartitionByRange(*keys, *order).withColumn(name, F.spark_partition_id()), "ranges")
+
+
+def running_sums(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str, name: str
 ) -> DataFrame:
-    """Consecutive numbers from 1 per key, by a bigint column that is unique per key.
+    """Add `name`: the sum of the bigint `value` over the key's earlier rows, in `order`.
 
-    The value range is cut into blocks; rows are numbered inside their block and
-    shifted by the rows of earlier blocks, so no window ever holds a whole key.
-    The prefix sum runs over the block counts only (at most `blocks` per key).
+    Each range of `depth_ranges` is summed up by itself and shifted by the key's ranges before it: that
+    window holds one row per range. `keys` may not be null; rows that tie in `order` may take each other's place.
     """
-    span = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    low = span.select("lo").scalar()
-    width = span.select(F.greatest(F.floor((F.col("hi") - F.col("lo")) / blocks) + 1, F.lit(1))).scalar()
-    placed = df.withColumn("_block", F.floor((F.col(order) - low) / width))
-    group = [*keys, "_block"]
-    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    keys = list(keys)
+    placed = depth_ranges(df, keys, order)
+    earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy(*group)
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .select(*group, "_offset")
-    )
-    inside = F.row_number().over(W.partitionBy(*group).orderBy(order))
-    return (
-        placed.join(offsets, group)
-        .withColumn(name, (F.col("_offset") + inside).cast("bigint"))
-        .drop("_block", "_offset")
+        placed.groupBy("_range", *keys)
+        .agg(F.sum(value).alias("_sum"))
+        .withColumn("_shift", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+        .drop("_sum")
     )
+    inside = W.partitionBy("_range", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    summed = placed.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return summed.join(offsets, ["_range", *keys]).withColumn(name, F.col(name) + F.col("_shift")).drop("_range", "_shift")
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
+    """Consecutive numbers from 1 per key, by a bigint column that is unique per key; rows without a key have none."""
+    kept = df.dropna(subset=list(keys)) if keys else df
+    counted = materialize(kept.withColumn("_one", F.lit(1).cast("bigint")), "numbered")
+    return running_sums(counted, keys, [order], "_one", name).withColumn(name, F.col(name) + 1).drop("_one")
