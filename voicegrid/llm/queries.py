@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voicegrid.llm import ann, bpe, exact_dedup, langid, licenses, packing, quality, secrets, simhash, training_order
+from voicegrid.llm import (
+    ann, bpe, exact_dedup, filter_audit, langid, licenses, mixing, packing, quality, secrets, simhash, training_order, whitening,
+)
 from voicegrid.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +193,67 @@ SELECT doc_id, scope, license_id, license_sha256 FROM u JOIN k USING (license_sh
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Known licences that a document, or a line of it, states."""
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector on the first four components of the embeddings' covariance."""
+    return whitening.whitened_rows(table(spark, folder, "embeddings"))
+
+
+AUDIT_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+  min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+ m AS (SELECT doc_id, part, (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+  + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+  + 16 * coalesce(doc_id > first, false)::INT AS mask FROM w),
+ l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+ cells AS (SELECT part, mask, count(*) AS docs, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+ filters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS f(letter, bit)),
+ walk AS (SELECT '' AS prefix, 0 AS applied, 0 AS bit, '' AS letter, 0 AS step UNION ALL
+  SELECT prefix || f.letter, applied | walk.bit, f.bit, f.letter, step + 1 FROM walk JOIN filters AS f ON (applied | walk.bit) & f.bit = 0),
+ found AS (SELECT part, prefix, letter, step, sum(CASE WHEN mask & (applied | bit) = 0 THEN docs ELSE 0 END) AS kept,
+  sum(CASE WHEN mask & bit > 0 AND mask & applied = 0 THEN docs ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & bit > 0 AND mask & applied > 0 THEN docs ELSE 0 END) AS redundant,
+  sum(CASE WHEN mask = bit THEN docs ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & bit > 0 AND mask & applied = 0 THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN mask & bit > 0 AND mask & applied = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM walk, cells WHERE step > 0 GROUP BY part, prefix, letter, step),
+ orders AS (SELECT prefix AS filter_order FROM walk WHERE step = 5),
+ full_rows AS (SELECT found.*, filter_order FROM orders JOIN found ON starts_with(filter_order, prefix)),
+ total AS (SELECT part, letter, sum(removed) AS shapley FROM full_rows GROUP BY part, letter)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+ unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, shapley::BIGINT AS shapley
+FROM full_rows JOIN total USING (part, letter)"""
+
+
+@query("op12_filter_audit", AUDIT_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """What every filter does at every place of every order, per source."""
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+_MIX_COPIES = "((b + e + {0}) >> 24) - ((b + {0}) >> 24)"
+MIX_SQL = rf"""WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+ s AS (SELECT k, sum(size)::BIGINT AS source_size, [{", ".join(map(str, mixing.WEIGHTS))}][(row_number() OVER (ORDER BY k) - 1) % {len(mixing.WEIGHTS)} + 1] AS w
+  FROM d GROUP BY k),
+ r AS (SELECT coalesce(sum({mixing.MOST} * source_size) OVER lower, 0) AS held, sum(w) OVER upper AS open FROM s
+  WINDOW lower AS (ORDER BY source_size / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+  upper AS (ORDER BY source_size / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+ lev AS (SELECT max(((SELECT sum(source_size) FROM s)::DOUBLE * {mixing.SHARE[0]} / {mixing.SHARE[1]} - held::DOUBLE) / open::DOUBLE) AS level FROM r),
+ g AS (SELECT k, source_size, least(({mixing.MOST} * source_size)::DOUBLE, level * w) AS target FROM s, lev),
+ e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size * 16777216 + 0.5)::BIGINT ELSE 0 END AS e FROM g),
+ p AS (SELECT doc_id, k, size, source_size, target, e,
+  (e * (row_number() OVER (PARTITION BY k ORDER BY size DESC, doc_id NULLS LAST) - 1))::BIGINT AS b FROM d JOIN e USING (k)),
+ o AS (SELECT k, n, ('0x' || substr(md5('{mixing.SEED}:' || n || ':' || k), 1, 6))::BIGINT AS u FROM s, range({mixing.DRAWS}) AS r(n)),
+ t AS (SELECT k, u, n, abs(sum(({_MIX_COPIES.format("u")}) * size) - any_value(target)) AS off FROM p JOIN o USING (k) GROUP BY k, u, n),
+ c AS (SELECT k, u FROM t QUALIFY row_number() OVER (PARTITION BY k ORDER BY off, n) = 1)
+SELECT doc_id, size, source_size, target, (({_MIX_COPIES.format("u")}) * size)::BIGINT AS taken FROM p JOIN c USING (k)"""
+
+
+@query("op13_mixing", MIX_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """The words the mix takes of every document, with its source's target."""
+    return mixing.plan(table(spark, folder, "documents"))
