@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voicegrid.config import DEFAULTS
 from voicegrid.operators import classify, compete, priority
-from voicegrid.plans import intake_queries, model_queries, report_queries, text_queries  # noqa: F401
+from voicegrid.plans import intake_queries, model_queries, report_queries, text_queries, vector_queries  # noqa: F401
 from voicegrid.plans.pipeline import enrich
 from voicegrid.plans.registry import ORACLES, QUERIES, query
 from voicegrid.session import materialize
