@@ -82,3 +82,20 @@ def test_split_takes_exact_shares(spark):
     assert set(frame["review_seq"]) == set(range(1003))
     again = stratified_split(rows.repartition(5)).toPandas()
     assert set(again[again["is_test"]]["review_seq"]) == set(frame[frame["is_test"]]["review_seq"])
+
+
+def test_many_to_many_join_in_cells(spark):
+    left, right = hot_rows(spark).select("k", F.col("id").alias("l")), hot_rows(spark).filter("id % 7 = 0").select("k", F.col("id").alias("r"))
+    want = {tuple(r) for r in left.join(right, "k").select("l", "r").collect()}
+    for depth in (10_000, 100, 7):
+        one, two, cell = skew.dealt_cells(left, right, ["k"], depth)
+        got = [tuple(r) for r in one.join(two, cell).select("l", "r").collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_a_block_of_many_members_spreads_over_all_tasks(spark):
+    rows = spark.range(50_000).select(F.lit(1).alias("k"), F.col("id").alias("u"))
+    one, two, cell = skew.dealt_cells(rows, rows.withColumnRenamed("u", "v"), ["k"])
+    for side in (one, two):
+        depths = [r["count"] for r in side.groupBy(*cell).count().collect()]
+        assert len(depths) == 98 * 98 and max(depths) < 1.5 * skew.CELL_ROWS

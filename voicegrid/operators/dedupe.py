@@ -28,12 +28,14 @@ from voicegrid.config import DEFAULTS
 from voicegrid.functions import text, vectors
 from voicegrid.operators.components import connected_components
 from voicegrid.operators.features import idf
-from voicegrid.operators.skew import join_frequent, number_rows
+from voicegrid.operators.skew import dealt_cells, join_frequent, number_rows
 from voicegrid.session import materialize, spread
 
 # Bounds of what may be broadcast: whole vectors, and term rows of four numbers.
 HOT_VECTORS = 200
 HOT_TERMS = 1_000_000
+# Two values a band find pairs that share two fifths of their terms in 98 of 100 cases.
+MINHASH_BANDS, MINHASH_ROWS = 24, 2
 # Cosines are compared with this slack, as sums differ in their last digits.
 SLACK = 1e-9
 
@@ -127,12 +129,13 @@ def unit_vectors(units: DataFrame, threshold: float = DEFAULTS.dedupe_threshold)
 
 def with_cosine(pairs: DataFrame, units: DataFrame) -> DataFrame:
     """Add the exact cosine to distinct (a, b) unit pairs."""
-    right = units.select(F.col("unit").alias("b"), F.col("vector").alias("right_vector"))
-    left = units.select(F.col("unit").alias("a"), F.col("vector").alias("left_vector"))
-    used = pairs.groupBy("a").agg(F.count("*").alias("uses"))
-    both = join_frequent(pairs.join(right, "b"), left.join(used, "a"), ["a"], "uses", hot_keys=HOT_VECTORS, counts=used)
+    both = pairs
+    for end, vector in (("b", "right_vector"), ("a", "left_vector")):
+        used = pairs.groupBy(end).agg(F.count("*").alias("uses"))
+        side = units.select(F.col("unit").alias(end), F.col("vector").alias(vector)).join(used, end)
+        both = join_frequent(both, side, [end], "uses", hot_keys=HOT_VECTORS, counts=used).drop("uses")
     return both.withColumn("cosine", vectors.sparse_dot(F.col("left_vector"), F.col("right_vector"))).drop(
-        "left_vector", "right_vector", "uses"
+        "left_vector", "right_vector"
     )
 
 
@@ -176,8 +179,10 @@ def similarity_links(units: DataFrame, threshold: float = DEFAULTS.dedupe_thresh
         "k1", "k2", F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1)).alias("bin"),
         *[F.col(c).alias("r_" + c) for c in ("unit", "rest", "angle", "component")],
     )
+    # A block of many members is dealt out in cells of pairs.
+    left, right, cell = dealt_cells(left, right, ["k1", "k2", "bin"])
     candidates = (
-        left.join(right, ["k1", "k2", "bin"])
+        left.join(right, cell)
         .filter("l_unit < r_unit AND l_component <> r_component")
         .filter(F.col("l_rest") * F.col("r_rest") >= (threshold - SLACK) ** 2)
         .filter(F.abs(F.col("l_angle") - F.col("r_angle")) <= reach)
@@ -188,6 +193,33 @@ def similarity_links(units: DataFrame, threshold: float = DEFAULTS.dedupe_thresh
     return near.unionByName(bridges)
 
 
+def minhash_links(
+    units: DataFrame, threshold: float = DEFAULTS.dedupe_threshold, bands: int = MINHASH_BANDS, rows: int = MINHASH_ROWS
+) -> DataFrame:
+    """Like `similarity_links`, but approximate: candidates share a band of MinHash values of their terms.
+
+    Every (band, values) block links its members to its first one and to the next one in the order of another hash, so
+    candidates grow with units x bands, not with pairs. Links are verified by the exact cosine, so
+    none is wrong; some can be missing.
+    """
+    terms = units.select("unit", F.explode("vector").alias("t")).select("unit", F.col("t.k1").alias("k"))
+    hashed = [F.min(F.xxhash64("k", F.lit(n))).alias(f"h{n}") for n in range(bands * rows)]
+    signatures = terms.groupBy("unit").agg(*hashed)
+    keys = [F.struct(F.lit(b).alias("band"), F.xxhash64(*[f"h{b * rows + r}" for r in range(rows)]).alias("key")) for b in range(bands)]
+    blocks = materialize(signatures.select("unit", F.inline(F.array(*keys))), "bands")
+    heads = blocks.groupBy("band", "key").agg(F.min("unit").alias("head"), F.count("*").alias("members")).filter("members > 1")
+    headed = join_frequent(blocks, heads, ["band", "key"], "members")
+    spokes = headed.filter("unit <> head").select(F.col("head").alias("a"), F.col("unit").alias("b"))
+    # Neighbours inside slices of a block: a frequent block is not sorted by one task.
+    mixed = F.xxhash64("unit", F.lit("next"))
+    near = W.partitionBy("band", "key", F.pmod(mixed, F.ceil(F.col("members") / F.lit(4096.0)))).orderBy(mixed, "unit")
+    chained = headed.withColumn("next", F.lead("unit").over(near)).filter("next IS NOT NULL").select(
+        F.least("unit", "next").alias("a"), F.greatest("unit", "next").alias("b")
+    )
+    candidates = materialize(spokes.unionByName(chained).distinct(), "candidates")
+    return with_cosine(candidates, units).filter(F.col("cosine") >= threshold - SLACK)
+
+
 def group_units(units: DataFrame, components: DataFrame) -> DataFrame:
     """Group number and size of every unit; numbers follow first appearance per app."""
     labelled = units.join(components.withColumnRenamed("node", "unit"), "unit", "left").withColumn(

@@ -13,6 +13,8 @@ from voicegrid.session import materialize
 # Upper bound of an explicitly broadcast list of narrow rows (about 100 bytes each).
 HOT_KEYS = 100_000
 SLICES = 1024
+# Rows of either side in one cell of a many-to-many join.
+CELL_ROWS = 512
 
 
 def top_n_per_key(
@@ -70,6 +72,32 @@ def join_frequent(
     return frequent.unionByName(rest)
 
 
+def dealt_cells(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], depth: int = CELL_ROWS
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of a many-to-many join, and the columns to join them on, so that no task gets a whole frequent key.
+
+    The pairs of a key with m left and n right rows form an m x n area. It is cut into cells of about `depth` x `depth`
+    pairs; a left row goes to every cell of its line, a right row to every cell of its column. A key below `depth`
+    on both sides is one cell, so its rows are not repeated.
+    """
+    keys = list(keys)
+    lefts = left.groupBy(*keys).agg(F.count("*").alias("_lefts"))
+    rights = right.groupBy(*keys).agg(F.count("*").alias("_rights"))
+    cells = materialize(lefts.join(rights, keys), "cells")
+
+    def cut(side: DataFrame, own: str, count: str, other: str, other_count: str) -> DataFrame:
+        sized = join_frequent(side, cells, keys, count, stored=True)
+        lines = [F.ceil(F.col(c) / F.lit(float(depth))).cast("int") for c in (count, other_count)]
+        # Rows of a side differ, so a hash of the whole row deals them evenly.
+        placed = sized.withColumn(own, F.pmod(F.xxhash64(*side.columns), lines[0]).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), lines[1] - 1))).drop(count, other_count)
+
+    return (
+        cut(left, "_line", "_lefts", "_column", "_rights"), cut(right, "_column", "_rights", "_line", "_lefts"), [*keys, "_line", "_column"],
+    )
+
+
 def depth_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "_range") -> DataFrame:
     """Stored `df` with the number of the row's range in the order by `keys`, then `order`.
 
