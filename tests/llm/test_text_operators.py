@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -260,3 +261,99 @@ def test_packing_ids_by_pieces_equal_the_library():
         ids = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == ids, text
     assert own.pieces
+
+
+def test_shards_hold_the_ids_of_every_document_in_order(spark, docs):
+    numbered = docs.drop("doc_id").withColumn("doc_id", F.monotonically_increasing_id()).repartition(3)
+    folder, _ = training_order.write_shards(numbered, BYTES, 50256, length=48, shard_rows=8)
+    rows = training_order.read_shards(spark, folder, length=48, shard_rows=8).collect()
+    own = training_order.stream_ids(BYTES)
+    want = {r["doc_id"]: [*own.encode(r["text"] or "").tolist(), 50256] for r in numbered.collect()}
+    # A record begins inside a document at `start`; the documents after it follow in full.
+    begun = {(r.doc_id, r.start): np.frombuffer(r.ids, "<u2").tolist() for r in rows}
+    assert len(begun) == len(rows)
+    got, followers = {d: {} for d in want}, 0
+    for (doc, start), ids in begun.items():
+        head = want[doc][start:start + len(ids)]
+        assert ids[:len(head)] == head
+        got[doc].update(zip(range(start, start + len(head)), head))
+        followers += len(ids) - len(head)
+    assert all(want[d][i] == v for d, found in got.items() for i, v in found.items())
+    assert sum(map(len, got.values())) + followers == sum(map(len, want.values()))
+    # Records of one task joined by the documents they begin with spell the stream of that task.
+    assert sorted(v for ids in begun.values() for v in ids) == sorted(v for ids in want.values() for v in ids)
+
+
+def test_records_of_wide_ids():
+    import struct
+
+    import zstandard
+    for width in (2, 4):
+        ids = np.random.default_rng(width).integers(0, 1 << (8 * width), 100).astype(f"<u{width}").tobytes()
+        head = struct.pack(training_order.HEAD, 5, 6, 7)
+        small = training_order._compressed(head, ids, width, zstandard.ZstdCompressor(level=3))
+        assert training_order._restored(small, width, zstandard.ZstdDecompressor()) == head + ids
+    assert training_order.id_width(BYTES) == 2
+
+
+def test_packing_plan_stays_small_however_many_pieces():
+    rnd = np.random.default_rng(0)
+    tails = np.bincount(np.clip(rnd.normal(1200, 60, 10**7).astype(int), 1, 2048), minlength=2049)
+    rows, sequences, streamed = packing.shapes(tails)
+    assert len(rows) < 50_000
+    assert streamed <= (np.arange(2049) * tails).sum()
+    # Every number of a length lies in one row's run, and runs of closed shapes don't overlap.
+    places = packing.Places(rows, sequences, streamed)
+    length = np.repeat(np.arange(2049), np.minimum(tails, 3))
+    number = np.concatenate([np.arange(n) for n in np.minimum(tails, 3)])
+    piece, part, size, _, offset = places.of(length, number)
+    assert np.bincount(piece, weights=size, minlength=len(length)).tolist() == length.tolist()
+    assert (offset + size <= 2048).all() and (part >= 0).all()
+
+
+def clustered_vectors(rnd, count, width=6):
+    centres = rnd.normal(size=(max(1, count // 3), width))
+    return centres[rnd.integers(len(centres), size=count)] + rnd.normal(size=(count, width)) * 1e-3
+
+
+def test_every_small_table_returns_all_candidates():
+    for seed in range(300):
+        rnd = np.random.default_rng(seed)
+        vectors = clustered_vectors(rnd, int(rnd.integers(2, 22))) * rnd.choice([1.0, 1e200, 1e-200])
+        graph, middle = ann.build_graph(ann._lifted(vectors))
+        begun = set(ann.entries(graph, middle).tolist())
+        rows = [(n in begun, [n], v.tolist(), [e for e in graph[n].tolist() if e >= 0]) for n, v in enumerate(vectors)]
+        shard = ann._Shard(rows, ann.DEGREE)
+        with np.errstate(all="ignore"):
+            found = list(shard.answers(list(range(len(rows))), vectors, 20, ann.SEARCH_BEAM))
+        assert {(q, i) for q, i, _ in found} == {(q, i) for q in range(len(rows)) for i in range(len(rows)) if i != q}
+
+
+def test_queries_that_repeat_and_vectors_at_the_ends_of_doubles(spark):
+    rnd = np.random.default_rng(4)
+    vectors = clustered_vectors(rnd, 40)
+    rows = [(n, v.tolist()) for n, v in enumerate(vectors)] + [(0, vectors[0].tolist())] * 3
+    rows += [(100, [1e200] * 6), (120, [1e-200] * 6), (140, [0.0] * 6), (160, [math.nan] * 6), (180, None), (200, [1.0]), (None, vectors[1].tolist())]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    index, longest = ann.build_index(frame)
+    got = ann.search(index, longest, ann.usable(frame, "vec_id", "embedding").filter("vec_id % 20 = 0")).toPandas()
+    parts = {i: np.array(v) for i, v in rows if i is not None and i not in (140, 160, 180, 200)}
+    assert set(got["query_id"]) == {0, 20, 100, 120}
+    for query, part in got.groupby("query_id"):
+        scores = {i: math.fsum(v * parts[query]) for i, v in parts.items() if i != query}
+        want = sorted(scores, key=lambda i: (-scores[i], i))[:20]
+        part = part.sort_values("rank")
+        assert part["vec_id"].tolist() == want and part["rank"].tolist() == list(range(1, 21))
+        assert part["score"].tolist() == [scores[i] for i in want]
+
+
+def test_recall_of_unequal_lengths(spark):
+    rnd = np.random.default_rng(8)
+    vectors = rnd.normal(size=(8000, 64)) * rnd.uniform(0.5, 2, 8000)[:, None]
+    table = pd.DataFrame({"vec_id": np.arange(8000), "embedding": list(vectors)})
+    frame = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    index, longest = ann.build_index(frame.repartition(8))
+    got = ann.search(index, longest, ann.usable(frame, "vec_id", "embedding").filter("vec_id % 100 = 0")).toPandas()
+    want = ann.exact(table, range(0, 8000, 100))
+    hits = sum(len(set(part["vec_id"]) & set(want[q])) for q, part in got.groupby("query_id"))
+    assert hits / (20 * len(want)) >= 0.9

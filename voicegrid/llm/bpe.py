@@ -13,7 +13,8 @@ decoding emits the arcs' labels. Words repeat, so each task keeps the ids of tho
 Whole texts are split at single spaces first, which no pre-split word of a byte-level pattern spans; where white space
 comes in other shapes the whole text goes to the pattern. The pattern itself is the tokenizer file's own.
 Special tokens of the file become their ids, as the tokenizers library does by default.
-Null texts count as empty; ids, repeated rows and other columns are not looked at.
+Null texts count as empty; ids, repeated rows and other columns are not looked at. A very long word is one run of the automaton and is
+not kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,17 +22,26 @@ from __future__ import annotations
 import itertools
 import json
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
+# Words and parts kept per worker: both bounds together bound the bytes.
 WORDS_KEPT = 400_000
+LONGEST_KEPT = 64
 NEVER = 1 << 62
+SPACE = 0x20
+# Fixed value: how byte-level tokenizer files split text into words.
+WORD = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+# Latin text, whose classes of letters, digits and white space have been settled for long.
+PLAIN = re.compile("[\t-\r -\u024f]*")
 
 
 def byte_letters() -> list[str]:
@@ -113,8 +123,14 @@ class Automaton:
                     at -= len(labels[token])
                 token = arcs.pop()
                 gone = removed[state[path[-1]]] if path else None
-                if gone and self._lacks(gone, spine[token]):
-                    continue
+                if gone:
+                    for part, until in spine[token]:
+                        if part in gone and gone[part] <= until:
+                            break
+                    else:
+                        part = None
+                    if part is not None:
+                        continue
                 after = at + len(labels[token])
                 if (after, token) not in dead:
                     break
@@ -153,30 +169,58 @@ class Encoder:
         self._pattern = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self._special = extra
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(extra, key=len, reverse=True))) + ")") if extra else None
-        self._words: dict[str, bytes] = {}
-        self._chunks = _Chunks(self)
+        self._words: dict[bytes, bytes] = {}
+        self._parts: dict[str, bytes] = {}
 
     def _pieces(self, text: str) -> bytes:
         """Ids of a text that goes to the pattern as it is."""
-        out, words = [], self._words
-        for word, _ in self._pattern.pre_tokenize_str(text):
-            packed = words.get(word)
-            if packed is None:
+        return b"".join(map(self._coded, self._split(text)))
+
+    def _split(self, text: str) -> list[bytes]:
+        """Pre-split words. The library's own splitting takes far longer, but knows every letter; the pattern is for plain ones."""
+        if PLAIN.fullmatch(text):
+            return [word.encode() for word in WORD.findall(text)]
+        letters = self._byte_of.__getitem__
+        return [bytes(map(letters, word)) for word, _ in self._pattern.pre_tokenize_str(text)]
+
+    def _coded(self, word: bytes) -> bytes:
+        words = self._words
+        packed = words.get(word)
+        if packed is None:
+            packed = array("I", self.automaton.encode(word)).tobytes()
+            if len(word) <= LONGEST_KEPT:
                 if len(words) >= WORDS_KEPT:
                     words.clear()
-                ids = self.automaton.encode(bytes(map(self._byte_of.__getitem__, word)))
-                packed = words[word] = np.array(ids, dtype="<u4").tobytes()
-            out.append(packed)
-        return b"".join(out)
+                words[word] = packed
+        return packed
 
     def _plain(self, text: str) -> bytes:
         first, *rest = text.split(" ")
-        try:
-            if not first or first[-1].isspace():
-                return self._pieces(text)
-            return self._pieces(first) + b"".join(map(self._chunks.__getitem__, rest))
-        except _Spaces:
+        if first and first[-1].isspace() or not first:
+            return self._pieces(text)
+        known = self._parts
+        fresh = {part for part in rest if part not in known}
+        if any(not part or part[0].isspace() or part[-1].isspace() for part in fresh):
             return self._pieces(text)
+        if fresh:
+            if len(known) + len(fresh) > WORDS_KEPT:
+                known.clear()
+                fresh = set(rest)
+            known.update(self._new_parts(list(fresh)))
+        ids = self._pieces(first) + b"".join(map(known.__getitem__, rest))
+        for part in fresh:
+            if len(part) > LONGEST_KEPT:
+                del known[part]
+        return ids
+
+    def _new_parts(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts, each with the space before it; all are split in one call, as a word never spans a single space."""
+        found: list[list[bytes]] = []
+        for word in self._split(" " + " ".join(parts)):
+            if word[0] == SPACE:
+                found.append([])
+            found[-1].append(self._coded(word))
+        return {part: b"".join(packed) for part, packed in zip(parts, found, strict=True)}
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -192,28 +236,6 @@ class Encoder:
         return self.automaton.decode(np.frombuffer(ids, dtype="<u4").tolist()).decode("utf-8", "replace")
 
 
-class _Spaces(Exception):
-    """A part between two spaces is empty, or white space touches the space."""
-
-
-class _Chunks(dict):
-    """Ids of a part of the text with the single space before it."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, part: str) -> bytes:
-        if not part or part[0].isspace() or part[-1].isspace():
-            raise _Spaces
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        packed = self.encoder._pieces(" " + part)
-        if len(part) <= 64:
-            self[part] = packed
-        return packed
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One per Python worker; the file is at the same path on every machine."""
@@ -249,3 +271,27 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     rows = encoded.select("doc_id", "ids")
     return rows.mapInArrow(batches, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, text string")
+
+
+def round_trip(
+    docs: DataFrame, path: str, derive: Callable[[bytes, str], tuple], columns: str, id_column: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(doc_id, `columns`): what `derive` makes of a text's ids and of the text decoded from them, in one pass over the texts.
+
+    For figures about both; ids and decoded texts then needn't leave the worker.
+    """
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {columns}"
+    names = [c.strip().split(" ")[0] for c in columns.split(",")]
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
+        for part in parts:
+            made = []
+            for value in part.column(1):
+                ids = own.encode(value.as_py())
+                made.append(derive(ids, own.decode(ids)))
+            found = list(zip(*made)) if made else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, found)], names=["doc_id", *names])
+
+    return rows.mapInArrow(batches, schema)

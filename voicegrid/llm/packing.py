@@ -4,11 +4,13 @@ Every document's ids are cut into full windows and one tail. The tails' length h
 window has tokens, whatever the input, so the plan is made on the driver: all pairs and triples of
 present lengths that fill the window exactly are enumerated, non-negative least squares finds how often to
 repeat each so that the histogram is used up, the counts are rounded down, and what is left is packed greedily: longest
-first, then always the longest that fits; a gap above `gap` tokens is closed by cutting a piece. The last open
-sequence is cut into powers of two, which need no padding.
+first, then always the longest that fits. Equal sequences are planned at once. Where the greedy sequence would leave a gap above
+`gap` tokens, its longest length goes to a stream instead: all those pieces end to end, cut wherever a sequence is full. The
+stream's last tokens are cut into powers of two, which need no padding. So the plan has a few rows per length, however
+many pieces there are.
 
 The plan speaks of "the k-th piece of length L". Pieces get their k from the task that made them and a running sum
-of counts per length over tasks, so no length is ever gathered in one place. Null texts count as empty (then a
+of counts per length over tasks, so no length is ever gathered in one place; each task's running sums are one array. Null texts count as empty (then a
 document is its end mark alone). Repeated rows are packed one by one; null ids are carried; an empty table gives an
 empty result; other columns are ignored.
 """
@@ -17,6 +19,8 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,6 +48,8 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 # Signs, digits and Latin-1 letters: composed already, and lower-cased one by one.
 PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+# The same with white space, which separates pieces and is in none.
+PLAIN_TEXT = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 
 
 def piece_pattern(path: str) -> regex.Pattern | None:
@@ -61,6 +67,22 @@ def piece_pattern(path: str) -> regex.Pattern | None:
     return regex.compile(split["pattern"]["Regex"])
 
 
+class PieceIds(dict):
+    """Ids of one piece of a normalised and split text: it goes to the merges at once."""
+
+    def __init__(self, tokenizer: Tokenizer, bytewise: dict[int, str]):
+        super().__init__()
+        self.model, self.bytewise = tokenizer.model, bytewise
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = array("I", [t.id for t in self.model.tokenize(piece.translate(self.bytewise))]).tobytes()
+        if len(piece) <= LONGEST_KEPT:
+            if len(self) >= WORDS_KEPT:
+                self.clear()
+            self[piece] = packed
+        return packed
+
+
 class WordIds(dict):
     """Ids of one part between white space, by the tokenizers library; parts of a text don't influence each other.
 
@@ -75,10 +97,9 @@ class WordIds(dict):
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern = piece_pattern(path)
-        self.pieces: dict[str, bytes] = {}
         byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
         plain = filter(PLAIN.fullmatch, map(chr, range(256)))
-        self.bytewise = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in plain}
+        self.pieces = PieceIds(self.tokenizer, {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in plain})
 
     def __missing__(self, part: str) -> bytes:
         packed = self.by_pieces(part) if self.pattern and PLAIN.fullmatch(part) else self.whole(part)
@@ -88,20 +109,8 @@ class WordIds(dict):
             self[part] = packed
         return packed
 
-    def by_pieces(self, part: str) -> bytes:
-        out = []
-        for piece in self.pattern.findall(part.lower()):
-            packed = self.pieces.get(piece)
-            if packed is None:
-                # A piece is already normalised and split, so it goes to the merges at once.
-                found = self.tokenizer.model.tokenize(piece.translate(self.bytewise))
-                packed = np.array([t.id for t in found], dtype="<u4").tobytes()
-                if len(self.pieces) >= WORDS_KEPT:
-                    self.pieces.clear()
-                if len(piece) <= LONGEST_KEPT:
-                    self.pieces[piece] = packed
-            out.append(packed)
-        return b"".join(out)
+    def by_pieces(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text.lower())))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -110,6 +119,8 @@ class WordIds(dict):
         """Little-endian unsigned 32-bit ids of a whole text."""
         if any(s in text for s in SEPARATORS) or any(s in text for s in self.special):
             return self.whole(text)
+        if self.pattern and PLAIN_TEXT.fullmatch(text):
+            return self.by_pieces(text)
         return b"".join(map(self.__getitem__, text.split()))
 
 
@@ -197,22 +208,26 @@ def least_squares(combos: np.ndarray, histogram: np.ndarray, steps: int = STEPS)
     return x
 
 
-def plan(histogram: np.ndarray, window: int = WINDOW, gap: int = GAP, steps: int = STEPS) -> np.ndarray:
-    """Slots (length, first, last, part, size, sequence, offset): pieces number first..last of `length` give
-    their tokens part..part+size to sequence + (number - first), at `offset`.
+STREAM = -1
+
 
-    `histogram[L]` pieces have length L, full windows included. Every piece's tokens lie in exactly one slot each.
+def shapes(histogram: np.ndarray, window: int = WINDOW, gap: int = GAP, steps: int = STEPS) -> tuple[np.ndarray, int, int]:
+    """Rows (length, first, sequence, offset), the number of sequences they fill and the tokens of the stream.
+
+    Pieces from number `first` on, up to the length's next row, go to sequence + (number - first) at `offset`. Where
+    `sequence` is `STREAM` they stand in the stream instead, end to end from token `offset` on.
+    `histogram[L]` pieces have length L, full windows included.
     """
     left = histogram.astype(np.int64).copy()
     used = np.zeros(window + 1, dtype=np.int64)  # pieces of a length planned so far
-    slots: list[tuple[int, ...]] = []
-    sequence = 0
+    rows: list[tuple[int, int, int, int]] = []
+    sequence = streamed = 0
 
     def take(lengths: list[int], repeats: int) -> None:
         nonlocal sequence
-        offset, base = 0, sequence
+        offset = 0
         for n in lengths:
-            slots.append((n, used[n], used[n] + repeats - 1, 0, n, base, offset))
+            rows.append((n, int(used[n]), sequence, offset))
             used[n] += repeats
             left[n] -= repeats
             offset += n
@@ -233,122 +248,128 @@ def plan(histogram: np.ndarray, window: int = WINDOW, gap: int = GAP, steps: int
             # A length that occurs twice takes two runs of numbers.
             if repeats > 0:
                 take(lengths, repeats)
-    _greedy(left, used, slots, sequence, window, gap)
-    return np.array(slots, dtype=np.int64).reshape(-1, 7)
-
-
-def _greedy(left: np.ndarray, used: np.ndarray, slots: list, sequence: int, window: int, gap: int) -> None:
-    """Pack what the solution left, one sequence shape at a time; equal shapes are taken together."""
-    cut_rest: tuple[int, int, int] | None = None  # (length, number, part) of a piece of which a part is open
-    below = np.flatnonzero(left).tolist()
-
-    def largest(room: int, taken: dict[int, int]) -> int:
-        for n in reversed(below):
-            if n <= room and left[n] > taken.get(n, 0):
-                return n
-        return 0
-
-    while True:
-        below = [n for n in below if left[n] > 0]
-        shape: list[int] = []
-        taken: dict[int, int] = defaultdict(int)
-        room, opened = window, []
-        if cut_rest is not None:
-            n, number, part = cut_rest
-            opened.append((n, number, number, part, n - part, 0))
-            room, cut_rest = window - (n - part), None
-        while (n := largest(room, taken)):
+    while len(below := np.flatnonzero(left).tolist()):
+        # Each round uses up a length: the scarcest of a closed shape, or the longest one left.
+        shape, room = _greedy_shape(below, left, window)
+        if room <= gap:
+            take(shape, min(int(left[n]) // shape.count(n) for n in set(shape)))
+        else:
+            n = shape[0]
+            rows.append((n, int(used[n]), STREAM, streamed))
+            streamed += n * int(left[n])
+            used[n] += left[n]
+            left[n] = 0
+    return np.array(rows, dtype=np.int64).reshape(-1, 4), sequence, streamed
+
+
+def _greedy_shape(below: list[int], left: np.ndarray, window: int) -> tuple[list[int], int]:
+    """Lengths of one sequence, the longest that fits first, and the room they leave."""
+    shape, room, taken, at = [], window, 0, len(below) - 1
+    while at >= 0:
+        n = below[at]
+        if n <= room and taken < left[n]:
             shape.append(n)
-            taken[n] += 1
-            room -= n
-        if not shape and not opened:
-            return
-        more = any(left[n] > taken.get(n, 0) for n in below)
-        closes = room > gap and more
-        repeats = 1 if opened or closes else min(int(left[n]) // k for n, k in taken.items())
-        if not more and repeats == 1 and room:
-            # The last sequence: nothing is left to fill it, so it is cut into powers of two.
-            parts = [(n, number, number, part, size) for n, number, _, part, size, _ in opened]
-            seen: dict[int, int] = defaultdict(int)
-            for n in shape:
-                parts.append((n, int(used[n]) + seen[n], int(used[n]) + seen[n], 0, n))
-                seen[n] += 1
-            _powers(parts, slots, sequence, window - room)
-            return
-        offset = 0
-        for n, first, last, part, size, _ in opened:
-            slots.append((n, first, last, part, size, sequence, offset))
-            offset += size
-        for n in shape:
-            slots.append((n, int(used[n]), int(used[n]) + repeats - 1, 0, n, sequence, offset))
-            used[n] += repeats
-            left[n] -= repeats
-            offset += n
-        if closes:
-            n = next(n for n in reversed(below) if left[n] > 0)
-            slots.append((n, int(used[n]), int(used[n]), 0, room, sequence, offset))
-            cut_rest = (n, int(used[n]), room)
-            used[n] += 1
-            left[n] -= 1
-        sequence += repeats
+            room, taken = room - n, taken + 1
+        else:
+            at, taken = at - 1, 0
+    return shape, room
+
+
+class Places:
+    """Where every piece goes; what a plan makes of (length, number)."""
+
+    def __init__(self, rows: np.ndarray, sequences: int, streamed: int, window: int = WINDOW):
+        self.rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        self.keys = self.rows[:, 0] * (1 << 48) + self.rows[:, 1]
+        self.sequences, self.window = sequences, window
+        self.full, rest = divmod(streamed, window)
+        # The last tokens of the stream fill one sequence for each power of two in their number.
+        powers = [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+        self.ends = self.full * window + np.cumsum([0, *powers])
+
+    def _sequence_at(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the stream's sequence that holds a token, and the place where it begins."""
+        late = np.maximum(np.searchsorted(self.ends, place, side="right") - 1, 0)
+        whole = place < self.ends[0]
+        return np.where(whole, place // self.window, self.full + late), np.where(whole, place // self.window * self.window, self.ends[late])
+
+    def of(self, length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, part, size, sequence, offset) of every part; `piece` is an index into the arguments."""
+        row = self.rows[np.searchsorted(self.keys, length * (1 << 48) + number, side="right") - 1]
+        ahead = number - row[:, 1]
+        piece = np.flatnonzero(row[:, 2] != STREAM)
+        found = [(piece, np.zeros_like(piece), length[piece], row[piece, 2] + ahead[piece], row[piece, 3])]
+        todo = np.flatnonzero(row[:, 2] == STREAM)
+        begin = row[todo, 3] + ahead[todo] * length[todo]
+        part = np.zeros_like(todo)
+        while len(todo):
+            # One part of every piece at a time; a piece ends in the same sequence, the next, or a late one.
+            number_of, opened = self._sequence_at(begin + part)
+            late = np.minimum(np.maximum(number_of - self.full + 1, 0), len(self.ends) - 1)
+            closed = np.where(number_of < self.full, opened + self.window, self.ends[late])
+            size = np.minimum(length[todo] - part, closed - begin - part)
+            found.append((todo, part, size, self.sequences + number_of, begin + part - opened))
+            more = part + size < length[todo]
+            todo, begin, part = todo[more], begin[more], (part + size)[more]
+        return tuple(np.concatenate(x).astype(np.int64) for x in zip(*found))
 
 
-def _powers(parts: list, slots: list, sequence: int, total: int) -> None:
-    sizes = [1 << b for b in range(total.bit_length() - 1, -1, -1) if total >> b & 1]
-    room, offset = sizes.pop(0), 0
-    for n, first, last, part, size in parts:
-        while size:
-            if not room:
-                sequence, room, offset = sequence + 1, sizes.pop(0), 0
-            step = min(size, room)
-            slots.append((n, first, last, part, step, sequence, offset))
-            part, size, room, offset = part + step, size - step, room - step, offset + step
+def plan(histogram: np.ndarray, window: int = WINDOW, gap: int = GAP, steps: int = STEPS) -> np.ndarray:
+    """The whole plan piece by piece, for checks: rows (length, number, number, part, size, sequence, offset)."""
+    length = np.repeat(np.arange(len(histogram)), histogram)
+    number = np.arange(len(length)) - np.repeat(np.cumsum(histogram) - histogram, histogram)
+    piece, part, size, sequence, offset = Places(*shapes(histogram, window, gap, steps), window).of(length, number)
+    return np.stack([length[piece], number[piece], number[piece], part, size, sequence, offset], axis=1)
 
 
 def pack(
     docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 1, gap: int = GAP, steps: int = STEPS,
-    id_column: str = "doc_id", text: str = "text",
+    id_column: str = "doc_id", text: str = "text", crc: str | None = None,
 ) -> DataFrame:
-    """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset); `ids` are little-endian unsigned 32-bit."""
+    """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset); `ids` are little-endian unsigned 32-bit.
+
+    With `crc`, a column of that name has the CRC-32 of the ids, in the place of `ids`.
+    """
     pieces = cut(docs, path, window, end_id, id_column, text)
     counts = materialize(pieces.groupBy("length", "task").agg(F.count("*").alias("pieces")), "piece-counts")
     # One row per length: at most `window` rows come to the driver.
     histogram = np.zeros(window + 1, dtype=np.int64)
     for r in counts.groupBy("length").agg(F.sum("pieces").alias("pieces")).collect():
         histogram[r["length"]] = r["pieces"]
-    made = plan(histogram, window, gap, steps)
+    made = shapes(histogram, window, gap, steps)
     before = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     firsts = counts.select("length", "task", F.coalesce(F.sum("pieces").over(before), F.lit(0)).alias("first"))
-    # Size decides whether this lookup is broadcast; otherwise pieces are dealt by task and length.
-    numbered = pieces.join(firsts, ["task", "length"]).select(
-        "doc_id", "start", "length", "doc_tokens", "ids", (F.col("first") + F.col("number")).alias("number")
+    # One row per task of the scan, of a few kB. Its size decides whether it is broadcast; otherwise pieces are dealt by task.
+    per_task = firsts.groupBy("task").agg(F.array_sort(F.collect_list(F.struct("length", "first"))).alias("firsts"))
+    per_task = materialize(per_task.select("task", F.col("firsts.length").alias("lengths"), F.col("firsts.first").alias("firsts")), "firsts")
+    at = F.array_position("lengths", F.col("length")).cast("int")
+    numbered = pieces.join(per_task, "task").select(
+        "doc_id", "start", "length", "doc_tokens", "ids", (F.element_at("firsts", at) + F.col("number")).alias("number")
     )
-    sent = docs.sparkSession.sparkContext.broadcast(made[np.lexsort((made[:, 3], made[:, 1], made[:, 0]))])
+    sent = docs.sparkSession.sparkContext.broadcast(made)
     kind = numbered.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    content = "ids" if crc is None else crc
+    names = ["doc_id", "start", "length", content, "doc_tokens", "sequence_id", "offset"]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = sent.value
-        # Slots of one length follow each other, by first number; a piece's parts share their numbers.
-        keys = slots[:, 0] * (1 << 48) + slots[:, 1]
+        places = Places(*sent.value, window)
         for part in parts:
-            length = part.column(2).to_numpy(zero_copy_only=False)
-            number = part.column(5).to_numpy(zero_copy_only=False)
-            at = np.searchsorted(keys, length * (1 << 48) + number, side="right") - 1
-            low = np.searchsorted(keys, keys[at], side="left") if len(at) else at
-            rows = np.repeat(np.arange(len(at)), at - low + 1)
-            slot = np.concatenate([np.arange(a, b + 1) for a, b in zip(low, at)]) if len(at) else at
-            hit = slots[slot]
-            ids = part.column(4)
-            found = [
-                ids[int(r)].as_py()[4 * p:4 * (p + n)] for r, p, n in zip(rows, hit[:, 3], hit[:, 4])
-            ]
-            back = pa.array(rows)
+            start, length, number = (part.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 5))
+            piece, first, size, sequence, offset = places.of(length, number)
+            # Ids of the batch lie end to end, so a part is a slice of one buffer.
+            ids = pa.concat_arrays([part.column(4)]).cast(pa.large_binary())
+            _, ends, held = ids.buffers()
+            begins = np.frombuffer(ends, dtype=np.int64)[ids.offset:ids.offset + len(ids)] if len(ids) else np.zeros(0, np.int64)
+            whole = memoryview(held) if held is not None else memoryview(b"")
+            low = begins[piece] + 4 * first
+            slices = [whole[a:b] for a, b in zip(low.tolist(), (low + 4 * size).tolist())]
+            value = pa.array(map(bytes, slices), pa.binary()) if crc is None else pa.array(map(zlib.crc32, slices), pa.int64())
+            back = pa.array(piece)
             yield pa.RecordBatch.from_arrays([
-                part.column(0).take(back), pa.array(part.column(1).to_numpy(zero_copy_only=False)[rows] + hit[:, 3]),
-                pa.array(hit[:, 4]), pa.array(found, pa.binary()), part.column(3).take(back),
-                pa.array(hit[:, 5] + number[rows] - hit[:, 1]), pa.array(hit[:, 6]),
+                part.column(0).take(back), pa.array(start[piece] + first), pa.array(size), value, part.column(3).take(back),
+                pa.array(sequence), pa.array(offset),
             ], names=names)
 
-    schema = f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
+    kind_of = "binary" if crc is None else "bigint"
+    schema = f"doc_id {kind}, start bigint, length bigint, `{content}` {kind_of}, doc_tokens bigint, sequence_id bigint, offset bigint"
     return numbered.mapInArrow(batches, schema)

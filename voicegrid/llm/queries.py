@@ -109,26 +109,19 @@ def with_crc(rows: DataFrame, name: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document with its place in the packed sequences."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    return with_crc(packing.pack(table(spark, folder, "documents"), path), "ids_crc32")
+    return packing.pack(table(spark, folder, "documents"), path, crc="ids_crc32")
 
 
 @query("op5_bpe")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    decoded = bpe.decode(bpe.encode(table(spark, folder, "documents"), path), path)
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            ids = [x.as_py() for x in part.column(1)]
-            yield pa.RecordBatch.from_arrays([
-                part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                pa.array([hashlib.sha256(x.as_py().encode()).hexdigest() for x in part.column(2)]),
-            ], names=names)
-
-    return decoded.mapInArrow(batches, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    def digests(ids: bytes, text: str) -> tuple[int, str, str]:
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+    columns = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return bpe.round_trip(table(spark, folder, "documents"), path, digests, columns)
 
 
 @query("op6_training_order")
