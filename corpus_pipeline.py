@@ -16,7 +16,11 @@ from voicegrid.session import shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a known language go: no letter, or like none of the labelled languages."""
+    """Documents without a known language go: no letter, or like none of the labelled languages.
+
+    Null texts count as empty, so they go. Where no row is labelled nothing is known, and all rows stay, as in an empty table.
+    Repeated rows are judged alike; a null source or language is missing evidence.
+    """
     prepare(spark)
     rejected = free_name(docs, "_rejected")
     facts = docs.select("*", F.struct(*docs.columns).alias(whole := free_name(docs, "_whole")))
@@ -28,7 +32,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts (but for white space) the one with the smallest id stays."""
+    """Of documents with equal texts (but for white space) the one with the smallest id stays.
+
+    Null texts are empty texts, and copies of each other. Of rows that repeat an id, or have none, one stays. An empty table stays empty.
+    """
     prepare(spark)
     row = free_name(docs, "_row")
     stored = with_row_id(docs, row)
@@ -37,22 +44,25 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates the document with the smallest id stays."""
+    """Of every group of near-duplicates the document with the smallest id stays.
+
+    Texts without words are near-duplicates of each other. Rows that repeat the smallest id, and groups without any id, keep one row.
+    """
     prepare(spark)
     row = free_name(docs, "_row")
     stored = with_row_id(docs, row)
-    found = simhash.near_duplicates(stored, carry=[row])
+    found = simhash.near_duplicates(stored, carry=[row], group="group")
     alone = found.filter("doc_id IS NULL OR doc_id <> component_id")
     # Rows that repeat the id of a group's first one, and groups without any id: the first row stays.
     first = found.filter("doc_id = component_id").groupBy("component_id").agg(F.min(row).alias("first"), F.count("*").alias("held"))
     more = found.filter("doc_id = component_id").join(first.filter("held > 1"), "component_id").filter(F.col(row) != F.col("first"))
-    nameless = found.filter("component_id IS NULL").groupBy("fingerprint").agg(F.min(row).alias(row))
+    nameless = found.filter("component_id IS NULL").groupBy("group").agg(F.min(row).alias(row))
     drop = alone.select(row).join(nameless.select(row), row, "left_anti").unionByName(more.select(row))
     return drop_rows(stored, drop, row).select(*docs.columns)
 
 
 def secret_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its secrets are replaced by a mark, and n_chars follows."""
+    """Every document stays; its secrets are replaced by a mark, and n_chars follows. Null texts stay null."""
     prepare(spark)
     spans = free_name(docs, "_spans")
     clean = secrets.secret_spans(docs, name=spans).withColumn("text", secrets.redacted(F.col("text"), F.col(spans)))

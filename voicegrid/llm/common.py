@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -13,6 +14,9 @@ from voicegrid.session import materialize, tune
 # A lookup is broadcast up to this many rows, each of a few dozen bytes.
 SMALL_ROWS = 100_000
 
+# Lines of the plan of a table as it was read.
+BARE = re.compile(r"[\s:+-]*(Project|Filter|Relation|SubqueryAlias)\b")
+
 # Python tasks hold one batch of whole texts at a time: bounded by rows and by bytes.
 ARROW_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
@@ -39,9 +43,14 @@ def free_name(df: DataFrame, stem: str) -> str:
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """`df` with a column that names each row and stays the same in later reads.
 
-    Rows of a file are named by file and place. Other rows are written once, with a number.
+    Rows of a file are named by file and place. Other rows are written once, with a number; so are those behind a join or
+    a generator, which repeat a row of a file.
     """
     try:
+        # A plan of scan, projection and filter only.
+        plan = df._jdf.queryExecution().analyzed().toString().splitlines()
+        if not all(BARE.match(line) for line in plan):
+            raise AnalysisException("rows of the files may repeat")
         place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
         return df.select("*", place.alias(name))
     except AnalysisException:

@@ -11,7 +11,8 @@ A flat background model stands for "none of the languages". A row is rejected if
 chunks with digits, if the background wins, or if the
 best language is less than `least` likely. Missing declaration, suffix or host leave their evidence out (a null host or suffix shares the
 prior above it); a declared language that no labelled row has is no evidence. Null texts count as empty and are rejected. Repeated rows
-are kept. An empty table gives an empty result. Without labelled rows every row is rejected.
+are kept and judged alike; of equally likely languages the first by name is given. Very long texts are scored in slices. An empty table
+gives an empty result. Without labelled rows nothing is known: every language is "und", and no row is rejected.
 A host may hold a third of all rows: sums are combined before the shuffle, and frequent hosts are joined by broadcast.
 """
 
@@ -34,7 +35,6 @@ from voicegrid.session import materialize
 BITS = 14
 # Bound of the sample that the text model is fitted on: rows per language.
 FIT_ROWS = 1000
-MOST_LANGUAGES = 256
 TEMPER = 0.5
 TRUST = 0.9
 LEAST = 0.5
@@ -62,10 +62,15 @@ def readable(text: bytes) -> bytes:
 def fit(labelled: DataFrame, text: str = "text", language: str = "lang", rows_each: int = FIT_ROWS, bits: int = BITS) -> TextModel:
     """Text model of the languages of `labelled`; per language the `rows_each` rows first in a fixed random order count."""
     rows = labelled.select(F.col(language).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    # Hashes are ranked, not texts; the chosen ones are at most rows_each per language.
-    order = W.partitionBy("lang").orderBy("h")
+    # Hashes are ranked, not texts; the chosen ones are at most rows_each per language. Of a language with more texts only
+    # hashes below a cut are ranked, which about twice as many as needed pass: they fit one task, whatever the language's share.
     keyed = rows.withColumn("h", F.xxhash64("text"))
-    chosen = keyed.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows_each)
+    hashes = materialize(keyed.select("lang", "h").distinct(), "language-hashes")
+    counts = hashes.groupBy("lang").agg(F.count("*").alias("texts"))
+    cut = lookup_left(hashes, materialize(counts, "language-counts"), ["lang"], "texts")
+    place = (F.col("h") / float(1 << 63) + 1) / 2
+    low = cut.filter(place * F.col("texts") <= 2.0 * rows_each + 100)
+    chosen = low.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= rows_each)
     chosen = materialize(chosen.select("lang", "h"), "language-sample")
     sample = keyed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     sample = sample.select("lang", F.col("text").cast("binary").alias("text"))
@@ -85,8 +90,6 @@ def fit(labelled: DataFrame, text: str = "text", language: str = "lang", rows_ea
     sums = sample.mapInArrow(counted, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = sums.collect()  # at most 2^bits rows per language
     languages = tuple(sorted({r["lang"] for r in found}))
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     counts = np.full((1 << bits, len(languages)), 0.5)
     place = {lang: i for i, lang in enumerate(languages)}
     for r in found:
@@ -134,15 +137,15 @@ def identify(
     kept = [c for c in rows.columns if c.lower() not in results or c in inputs]
     rows = rows.select(*kept)
     languages, size = model.languages, len(model.languages) + 1
-    name = {k: free_name(rows, f"_{k}") for k in ("logs", "first", "host", "suffix", "joint", "prior")}
+    name = {k: free_name(rows, f"_{k}") for k in ("logs", "first", "host", "suffix", "joint", "prior", "s", "h", "held", "hn", "suffix_held", "sn", "p")}
     null = F.lit(None).cast("string")
     scored = with_text_evidence(rows, model, text, name["logs"], temper)
-    listed = F.array(*[F.lit(x) for x in languages]) if languages else F.expr("cast(array() as array<string>)")
+    listed = F.array(*[F.lit(x.lower()) for x in languages]) if languages else F.expr("cast(array() as array<string>)")
     said = F.lower(F.col(declared).cast("string")) if declared else null
     off = np.log((1 - trust) / max(1, size - 1))
     claim = F.transform(
         F.concat(listed, F.array(F.lit(NONE))),
-        lambda x: F.when(F.array_contains(listed, said), F.when(F.lower(x) == said, float(np.log(trust))).otherwise(float(off))).otherwise(0.0),
+        lambda x: F.when(F.array_contains(listed, said), F.when(x == said, float(np.log(trust))).otherwise(float(off))).otherwise(0.0),
     )
     has_text = F.size(name["logs"]) > 0
     joint = F.when(has_text, F.zip_with(name["logs"], claim, lambda a, b: a + b))
@@ -164,10 +167,14 @@ def identify(
     suffixes = by_suffix.filter("s IS NOT NULL").select("s", "held", vector().alias("n"))
     no_sums = F.array(*[F.lit(0.0)] * size)
     # A null is no key: it gets a value that keys can't have.
-    hosts = materialize(hosts.select(F.coalesce("s", F.lit("\0")).alias("_s"), F.col("h").alias("_h"), "held", F.col("n").alias("_hn")), "hosts")
-    suffixes = materialize(suffixes.select(F.col("s").alias("_s"), F.col("held").alias("suffix_held"), F.col("n").alias("_sn")), "suffixes")
-    keyed = scored.withColumns({"_s": F.coalesce(ssuffix, F.lit("\0")), "_h": F.coalesce(shost, F.lit("\0"))})
-    joined = lookup_left(lookup_left(keyed, hosts, ["_s", "_h"], "held"), suffixes, ["_s"], "suffix_held")
+    hosts = materialize(hosts.select(
+        F.coalesce("s", F.lit("\0")).alias(name["s"]), F.col("h").alias(name["h"]), F.col("held").alias(name["held"]), F.col("n").alias(name["hn"])
+    ), "hosts")
+    suffixes = materialize(suffixes.select(
+        F.col("s").alias(name["s"]), F.col("held").alias(name["suffix_held"]), F.col("n").alias(name["sn"])
+    ), "suffixes")
+    keyed = scored.withColumns({name["s"]: F.coalesce(ssuffix, F.lit("\0")), name["h"]: F.coalesce(shost, F.lit("\0"))})
+    joined = lookup_left(lookup_left(keyed, hosts, [name["s"], name["h"]], name["held"]), suffixes, [name["s"]], name["suffix_held"])
 
     def smoothed(sums: Column, above: Column, strength: float) -> Column:
         # Without the row's own share.
@@ -178,24 +185,29 @@ def identify(
     base = np.array([max(0.0, float(x)) for x in total]) + 1.0
     base /= base.sum()
     world = F.array(*[F.lit(float(x)) for x in base])
-    joined = joined.withColumn(name["prior"], F.when(F.col("_sn").isNotNull(), smoothed(F.col("_sn"), world, SMOOTH_SUFFIX)).otherwise(world))
+    joined = joined.withColumn(name["prior"], F.when(F.col(name["sn"]).isNotNull(), smoothed(F.col(name["sn"]), world, SMOOTH_SUFFIX)).otherwise(world))
     joined = joined.withColumn(
         name["prior"],
-        F.when(F.col("_hn").isNotNull(), smoothed(F.col("_hn"), F.col(name["prior"]), SMOOTH_HOST)).otherwise(F.col(name["prior"])),
+        F.when(F.col(name["hn"]).isNotNull(), smoothed(F.col(name["hn"]), F.col(name["prior"]), SMOOTH_HOST)).otherwise(F.col(name["prior"])),
     )
     final = _softmax(F.zip_with(name["joint"], name["prior"], lambda a, p: a + F.log(p)))
-    joined = joined.withColumn("_p", final)
+    joined = joined.withColumn(name["p"], final)
     every = F.array(*[F.lit(x) for x in (*languages, NONE)])
     best = lambda c: F.get(every, F.array_position(c, F.array_max(c)).cast("int") - 1)
     return joined.withColumns({
-        "language": F.coalesce(best(F.col("_p")), F.lit(NONE)),
-        "confidence": F.coalesce(F.array_max("_p"), F.lit(0.0)),
+        "language": F.coalesce(best(F.col(name["p"])), F.lit(NONE)),
+        "confidence": F.coalesce(F.array_max(name["p"]), F.lit(0.0)),
         "text_language": F.when(has_text, best(F.col(name["logs"]))).otherwise(NONE),
-    }).withColumn("rejected", (F.col("language") == NONE) | (F.col("confidence") < least)).select(*kept, *results)
+    }).withColumn(
+        "rejected", (F.col("language") == NONE) | (F.col("confidence") < least) if languages else F.lit(False)
+    ).select(*kept, *results)
 
 
 def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """`pages` with text (markup taken out), declared (lang attribute of html), host and suffix."""
+    """`pages` with text (markup taken out), declared (lang attribute of html), host and suffix; columns of these names are replaced.
+
+    A null page is empty, a null or strange address has no host; both are missing evidence.
+    """
     page, address = F.coalesce(F.col(html), F.lit("")), F.coalesce(F.col(url), F.lit(""))
     body = F.regexp_replace(page, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
     host = F.lower(F.regexp_extract(address, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))

@@ -180,9 +180,12 @@ def _batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", carry: Sequence[str] = (),
-    words: int = SHINGLE_WORDS, radius: int = RADIUS, cap: int = TREE_CAP, small: int = SMALL_ROWS,
+    words: int = SHINGLE_WORDS, radius: int = RADIUS, cap: int = TREE_CAP, small: int = SMALL_ROWS, group: str | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, (carry,) fingerprint (16 hex digits), component_id (smallest id reachable)."""
+    """One row per document: doc_id, (carry,) fingerprint (16 hex digits), component_id (smallest id reachable).
+
+    With `group`, a column of that name tells the groups apart, those without any id too.
+    """
     rows = materialize(fingerprints(docs, id_column, text, carry, words), "fingerprints")
     nodes = materialize(
         rows.groupBy("fp").agg(F.count("*").alias("held"), F.min("doc_id").alias("lowest")), "fingerprint-nodes"
@@ -196,7 +199,7 @@ def near_duplicates(
     lowest = materialize(tied.groupBy("group").agg(F.min("lowest").alias("component"), F.count("*").alias("nodes")), "groups")
     entries = materialize(
         lookup_left(tied.select("fp", "group", "held"), lowest, ["group"], "nodes", small).select(
-            "fp", "held", "component", F.lit(True).alias("listed")
+            "fp", "held", "component", "group", F.lit(True).alias("listed")
         ),
         "fingerprint-entries",
     )
@@ -205,4 +208,5 @@ def near_duplicates(
         "doc_id", *carry,
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("listed"), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+        *([F.coalesce("group", "fp").alias(group)] if group else []),
     )

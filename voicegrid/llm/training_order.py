@@ -6,8 +6,9 @@ Feistel permutation under a key; values beyond n walk on along their cycle, so P
 shard s holds slots s * shard_rows and following, in order, as records of one stride. So the n-th record of the training order is at a
 known place, and reading can resume at any slot.
 
-A record is doc_id and start (of the first id; the smallest long for a null id), number of real ids, the ids as unsigned 16-bit
-integers, all little-endian, and a line feed. Files are written by Spark's committer under shard=<s>, so a lost
+A record is doc_id and start (of the first id; the smallest long for a null id), number of real ids, the ids as unsigned integers of
+16 bits (32 where the vocabulary needs them), all little-endian, and a line feed. Until they are written, records are
+compressed: they are stored once, for their numbers, and shuffled once. Files are written by Spark's committer under shard=<s>, so a lost
 executor leaves no half shard. Null texts count as empty, repeated rows are kept, an empty table writes no shard;
 other columns are ignored.
 """
@@ -26,6 +27,7 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -37,6 +39,7 @@ from voicegrid.session import materialize, shared_dir
 
 LENGTH = 1024
 SHARD_ROWS = 4096
+SHARDS_PER_TASK = 16
 KEY = 20_240_601
 ROUNDS = 6
 HEAD = "<qqi"
@@ -71,6 +74,28 @@ class StreamIds:
             return np.frombuffer(encoder(self.path).encode(text), dtype="<u4")
 
 
+def id_width(path: str) -> int:
+    """Bytes of an id in the records of a tokenizer file's vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return 2 if max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) < 1 << 16 else 4
+
+
+def _planes(data: bytes, width: int) -> bytes:
+    """All first bytes of the ids, then all second ones and so on: like bytes together."""
+    return np.frombuffer(data, dtype=np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _compressed(head: bytes, body: bytes, width: int, by: zstandard.ZstdCompressor) -> bytes:
+    return by.compress(head + _planes(body, width))
+
+
+def _restored(record: bytes, width: int, by: zstandard.ZstdDecompressor) -> bytes:
+    data = by.decompress(record)
+    body = np.frombuffer(data, dtype=np.uint8, offset=HEAD_SIZE).reshape(width, -1).T.tobytes()
+    return data[:HEAD_SIZE] + body
+
+
 @lru_cache(maxsize=2)
 def stream_ids(path: str) -> StreamIds:
     """One per Python worker; the file is at the same path on every machine."""
@@ -101,17 +126,19 @@ def feistel(index: np.ndarray, total: int, key: int = KEY, rounds: int = ROUNDS)
 
 
 def sequences(docs: DataFrame, path: str, end_id: int, length: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stored (task, number, record): the records of every task in the order of its rows."""
+    """Stored (task, number, record): the compressed records of every task in the order of its rows."""
+    width = id_width(path)
+    kind = f"<u{width}"
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, task, number = stream_ids(path), TaskContext.get().partitionId(), 0
         stream, heads = [], []  # ids not yet cut, and (place in them, doc_id)
-        held = 0
+        held, press = 0, zstandard.ZstdCompressor(level=3)
 
         def records(last: bool) -> list[bytes]:
             nonlocal stream, heads, held
-            ids = np.concatenate(stream) if stream else np.zeros(0, dtype="<u2")
+            ids = np.concatenate(stream) if stream else np.zeros(0, dtype=kind)
             places = np.array([p for p, _ in heads], dtype=np.int64)
             full = -(-len(ids) // length) if last else len(ids) // length
             out = []
@@ -121,9 +148,10 @@ def sequences(docs: DataFrame, path: str, end_id: int, length: int, id_column: s
                 body = ids[at:at + length]
                 real = len(body)
                 if real < length:
-                    body = np.concatenate([body, np.full(length - real, end_id, dtype="<u2")])
+                    body = np.concatenate([body, np.full(length - real, end_id, dtype=kind)])
                 doc = heads[k][1]
-                out.append(struct.pack(HEAD, NO_DOC if doc is None else doc, at - heads[k][0], real) + body.tobytes())
+                head = struct.pack(HEAD, NO_DOC if doc is None else doc, at - heads[k][0], real)
+                out.append(_compressed(head, body.tobytes(), width, press))
             keep = full * length
             k = max(0, int(np.searchsorted(places, keep, side="right")) - 1) if len(places) else 0
             heads = [(p - keep, d) for p, d in heads[k:]]
@@ -143,10 +171,8 @@ def sequences(docs: DataFrame, path: str, end_id: int, length: int, id_column: s
         for part in parts:
             for doc, value in zip(part.column(0), part.column(1)):
                 ids = np.append(own.encode(value.as_py()), np.uint32(end_id))
-                if int(ids.max()) >> 16:
-                    raise ValueError("ids above 65535 don't fit the record")
                 heads.append((held, doc.as_py()))
-                stream.append(ids.astype("<u2"))
+                stream.append(ids.astype(kind))
                 held += len(ids)
             yield batch(records(False))
         yield batch(records(True))
@@ -171,22 +197,37 @@ def write_shards(
     def slot_of(index: pd.Series) -> pd.Series:
         return pd.Series(feistel(index.to_numpy(), total, key))
 
+    width = id_width(path)
+
+    @F.pandas_udf("binary")
+    def restored(records: pd.Series) -> pd.Series:
+        opened = zstandard.ZstdDecompressor()
+        return records.map(lambda r: _restored(r, width, opened))
+
     target = folder or os.path.join(shared_dir(spark), f"training-order-{uuid.uuid4().hex}")
+    # Some shards a task at scale, every core busy below it.
+    shards = -(-total // shard_rows)
+    ranges = max(1, -(-shards // SHARDS_PER_TASK), min(shards, spark.sparkContext.defaultParallelism))
     placed = (
         stored.join(F.broadcast(firsts) if tasks <= SMALL_ROWS else firsts, "task")
         .select(slot_of(F.col("first") + F.col("number")).alias("slot"), "record")
         .withColumn("shard", F.expr(f"slot div {shard_rows}"))
-        .repartitionByRange("shard").sortWithinPartitions("shard", "slot")
+        .repartitionByRange(ranges, "shard")
+        .withColumn("record", restored("record"))
+        .sortWithinPartitions("shard", "slot")
     )
     placed.select(F.col("record").cast("string").alias("value"), "shard").write.partitionBy("shard").option("lineSep", "\n").text(target)
     return target, int(total)
 
 
 def read_shards(
-    spark: SparkSession, folder: str, first_slot: int = 0, length: int = LENGTH, shard_rows: int = SHARD_ROWS
+    spark: SparkSession, folder: str, first_slot: int = 0, length: int = LENGTH, shard_rows: int = SHARD_ROWS, width: int = 2
 ) -> DataFrame:
-    """(slot, shard, offset, doc_id, start, tokens, ids) from `first_slot` on; earlier shards are not opened."""
-    stride = HEAD_SIZE + 2 * length + 1
+    """(slot, shard, offset, doc_id, start, tokens, ids) from `first_slot` on; earlier shards are not opened.
+
+    `width` is the `id_width` of the tokenizer file.
+    """
+    stride = HEAD_SIZE + width * length + 1
     schema = "slot bigint, shard bigint, offset bigint, doc_id bigint, start bigint, tokens int, ids binary"
     files = spark.read.format("binaryFile").load(folder)
     if "shard" not in files.columns:
@@ -207,7 +248,7 @@ def read_shards(
                     begin = n * stride + HEAD_SIZE
                     rows.append((
                         shard * shard_rows + n, shard, n * stride, None if doc == NO_DOC else doc, start, tokens,
-                        data[begin:begin + 2 * tokens],
+                        data[begin:begin + width * tokens],
                     ))
                 columns = list(zip(*rows)) if rows else [[]] * 7
                 kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
