@@ -284,16 +284,16 @@ def test_shards_hold_the_ids_of_every_document_in_order(spark, docs):
     assert sorted(v for ids in begun.values() for v in ids) == sorted(v for ids in want.values() for v in ids)
 
 
-def test_records_of_wide_ids():
-    import struct
-
-    import zstandard
-    for width in (2, 4):
-        ids = np.random.default_rng(width).integers(0, 1 << (8 * width), 100).astype(f"<u{width}").tobytes()
-        head = struct.pack(training_order.HEAD, 5, 6, 7)
-        small = training_order._compressed(head, ids, width, zstandard.ZstdCompressor(level=3))
-        assert training_order._restored(small, width, zstandard.ZstdDecompressor()) == head + ids
+def test_records_compress_and_come_back(spark, docs):
     assert training_order.id_width(BYTES) == 2
+    texts = spark.createDataFrame([(n, f"text number {n} of many texts that are alike " * 30) for n in range(300)], "doc_id bigint, text string")
+    trained = training_order.record_dictionary(texts, BYTES, 64)
+    assert trained and training_order.record_dictionary(docs.limit(0), BYTES, 64) == b""
+    for dictionary in (trained, b""):
+        press = training_order.Press(dictionary)
+        for size in (0, 1, 5000):
+            record = np.random.default_rng(size).bytes(size)
+            assert press.restore(press.squeeze(record)) == record
 
 
 def test_packing_plan_stays_small_however_many_pieces():

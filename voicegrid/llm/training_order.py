@@ -40,6 +40,9 @@ from voicegrid.session import materialize, shared_dir
 LENGTH = 1024
 SHARD_ROWS = 4096
 SHARDS_PER_TASK = 16
+# The dictionary is trained on so many documents, and so many records of each.
+DICTIONARY_ROWS, DICTIONARY_RECORDS, DICTIONARY_BYTES = 1000, 4, 110_000
+PRESS_LEVEL = 6
 KEY = 20_240_601
 ROUNDS = 6
 HEAD = "<qqi"
@@ -81,19 +84,39 @@ def id_width(path: str) -> int:
     return 2 if max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) < 1 << 16 else 4
 
 
-def _planes(data: bytes, width: int) -> bytes:
-    """All first bytes of the ids, then all second ones and so on: like bytes together."""
-    return np.frombuffer(data, dtype=np.uint8).reshape(-1, width).T.tobytes()
+class Press:
+    """Compresses single records and restores them, by a dictionary of what such records have in common."""
 
+    def __init__(self, dictionary: bytes):
+        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        self.squeeze = zstandard.ZstdCompressor(level=PRESS_LEVEL, dict_data=shared).compress
+        self.restore = zstandard.ZstdDecompressor(dict_data=shared).decompress
 
-def _compressed(head: bytes, body: bytes, width: int, by: zstandard.ZstdCompressor) -> bytes:
-    return by.compress(head + _planes(body, width))
 
+@lru_cache(maxsize=4)
+def press(dictionary: bytes) -> Press:
+    return Press(dictionary)
 
-def _restored(record: bytes, width: int, by: zstandard.ZstdDecompressor) -> bytes:
-    data = by.decompress(record)
-    body = np.frombuffer(data, dtype=np.uint8, offset=HEAD_SIZE).reshape(width, -1).T.tobytes()
-    return data[:HEAD_SIZE] + body
+
+def record_dictionary(docs: DataFrame, path: str, length: int, id_column: str = "doc_id", text: str = "text", rows: int = DICTIONARY_ROWS) -> bytes:
+    """Compression dictionary from the first ids of at most `rows` documents; it changes the size of records, never what they hold."""
+    width = id_width(path)
+    texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).limit(rows)
+
+    def trained(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        samples = []
+        for part in parts:
+            for value in part.column(0):
+                ids = stream_ids(path).encode(value.as_py()).astype(f"<u{width}")[:DICTIONARY_RECORDS * length]
+                samples += [ids[at:at + length].tobytes() for at in range(0, len(ids), length)]
+        try:
+            found = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+        except (zstandard.ZstdError, ValueError):  # too few samples
+            found = b""
+        yield pa.RecordBatch.from_arrays([pa.array([found], pa.binary())], names=["dictionary"])
+
+    # A limit is one partition, so there is one dictionary; none for an empty table.
+    return max((bytes(r["dictionary"]) for r in texts.coalesce(1).mapInArrow(trained, "dictionary binary").collect()), key=len, default=b"")
 
 
 @lru_cache(maxsize=2)
@@ -125,16 +148,17 @@ def feistel(index: np.ndarray, total: int, key: int = KEY, rounds: int = ROUNDS)
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, path: str, end_id: int, length: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def sequences(
+    docs: DataFrame, path: str, end_id: int, length: int, id_column: str = "doc_id", text: str = "text", dictionary: bytes = b""
+) -> DataFrame:
     """Stored (task, number, record): the compressed records of every task in the order of its rows."""
-    width = id_width(path)
-    kind = f"<u{width}"
+    kind = f"<u{id_width(path)}"
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, task, number = stream_ids(path), TaskContext.get().partitionId(), 0
         stream, heads = [], []  # ids not yet cut, and (place in them, doc_id)
-        held, press = 0, zstandard.ZstdCompressor(level=3)
+        held, squeeze = 0, press(dictionary).squeeze
 
         def records(last: bool) -> list[bytes]:
             nonlocal stream, heads, held
@@ -151,7 +175,7 @@ def sequences(docs: DataFrame, path: str, end_id: int, length: int, id_column: s
                     body = np.concatenate([body, np.full(length - real, end_id, dtype=kind)])
                 doc = heads[k][1]
                 head = struct.pack(HEAD, NO_DOC if doc is None else doc, at - heads[k][0], real)
-                out.append(_compressed(head, body.tobytes(), width, press))
+                out.append(squeeze(head + body.tobytes()))
             keep = full * length
             k = max(0, int(np.searchsorted(places, keep, side="right")) - 1) if len(places) else 0
             heads = [(p - keep, d) for p, d in heads[k:]]
@@ -186,7 +210,8 @@ def write_shards(
 ) -> tuple[str, int]:
     """Write the shards; gives their folder (in the shared one, unless named) and the number of sequences."""
     spark = docs.sparkSession
-    stored = sequences(docs, path, end_id, length, id_column, text)
+    dictionary = record_dictionary(docs, path, length, id_column, text)
+    stored = sequences(docs, path, end_id, length, id_column, text, dictionary)
     counts = materialize(stored.groupBy("task").agg(F.count("*").alias("rows")), "sequence-counts")
     tasks, total = counts.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
     before = W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)
@@ -197,12 +222,10 @@ def write_shards(
     def slot_of(index: pd.Series) -> pd.Series:
         return pd.Series(feistel(index.to_numpy(), total, key))
 
-    width = id_width(path)
 
     @F.pandas_udf("binary")
     def restored(records: pd.Series) -> pd.Series:
-        opened = zstandard.ZstdDecompressor()
-        return records.map(lambda r: _restored(r, width, opened))
+        return records.map(press(dictionary).restore)
 
     target = folder or os.path.join(shared_dir(spark), f"training-order-{uuid.uuid4().hex}")
     # Some shards a task at scale, every core busy below it.
