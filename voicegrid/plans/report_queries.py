@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voicegrid.config import CONFIDENCE_BINS, ISSUE_CATEGORIES, RATE_CATEGORIES
 from voicegrid.functions import numeric, text
-from voicegrid.operators import classify, compete, evidence, ledger, priority, summary
+from voicegrid.operators import classify, compete, evidence, ledger, priority, search_index, summary
 from voicegrid.operators.sentiment import add_sentiment
 from voicegrid.plans.model_queries import PRIORITY_CTE, exact_groups
 from voicegrid.plans.registry import query
@@ -446,6 +446,42 @@ def flt_positive_score(t: Tables):
     )
 
 
+# The first turns of conversations are asked, each of the documents of one source.
+SEARCH_CTE = rf"""chunk AS (SELECT doc_id AS id, source AS app_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'),
+ lambda t: t NOT IN ({_NOT_STOP})) AS tokens FROM documents WHERE source IS NOT NULL),
+ sizes AS (SELECT app_id, count(*) + 1.0::DOUBLE AS n FROM chunk GROUP BY app_id),
+ bag AS (SELECT app_id, id, term, count(*) AS tf FROM (SELECT app_id, id, unnest(tokens) AS term FROM chunk) GROUP BY ALL),
+ stats AS (SELECT app_id, term, count(*) AS df FROM bag GROUP BY ALL),
+ ask AS (SELECT 'src' || (conv_id % 20) AS app_id, conv_id AS question_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS tokens
+ FROM conversations WHERE turn = 1),
+ qbag AS (SELECT app_id, question_id, term, count(*) AS qtf FROM (SELECT app_id, question_id, unnest(tokens) AS term FROM ask)
+ WHERE term NOT IN ({_NOT_STOP}) GROUP BY ALL),
+ qw AS (SELECT app_id, question_id, term, qtf * (ln((1 + n) / (2 + coalesce(df, 0))) + 1) AS qw FROM qbag JOIN sizes USING (app_id)
+ LEFT JOIN stats USING (app_id, term)),
+ qn AS (SELECT app_id, question_id, sqrt(sum(qw * qw)) AS ql FROM qw GROUP BY ALL),
+ dw AS (SELECT app_id, id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS idle, tf * (ln((1 + n) / (2 + df)) + 1) AS asked
+ FROM bag JOIN stats USING (app_id, term) JOIN sizes USING (app_id)),
+ dn AS (SELECT app_id, id, sum(idle * idle) AS squares FROM dw GROUP BY ALL),
+ hit AS (SELECT app_id, question_id, id, sum(qw * asked) AS dot, sum(idle * idle - asked * asked) AS less FROM dw JOIN qw USING (app_id, term)
+ GROUP BY ALL),
+ scored AS (SELECT app_id, question_id, id, dot / ql / sqrt(squares - less) AS cosine FROM hit JOIN dn USING (app_id, id)
+ JOIN qn USING (app_id, question_id)),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY app_id, question_id ORDER BY round(cosine, 12) DESC, id)::INT AS rank FROM scored)"""
+
+
+@query(
+    "rag_topk_many", ctes=SEARCH_CTE,
+    sql="SELECT app_id, question_id, rank, id, round_even(cosine * 10000, 0) / 10000 AS score FROM ranked WHERE rank <= 6",
+)
+def rag_topk_many(t: Tables):
+    """Evidence for the first turn of every conversation, from a stored index of each source's documents."""
+    chunks = t.documents.select(F.col("source").alias("app_id"), F.col("doc_id").alias("id"), "text")
+    index = search_index.build_index(chunks, STOPWORDS)
+    source = F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string"))
+    asked = t.conversations.filter("turn = 1").select(source.alias("app_id"), F.col("conv_id").alias("question_id"), "text")
+    return search_index.search(index, asked)
+
+
 # --- run ledger ------------------------------------------------------------------
 # A user is a run; its first event creates it, except for every tenth user.
 
