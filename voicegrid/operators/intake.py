@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voicegrid.config import DEFAULTS, REVIEW_SOURCE
 from voicegrid.functions import numeric, text
-from voicegrid.operators.skew import top_n_per_key
+from voicegrid.operators.selection import newest
 
 REVIEW_COLUMNS = (
     "app_id", "app_name", "review_text", "rating", "thumbs_up",
@@ -57,8 +57,7 @@ def review_key(app_id, review_date, review_text):
 
 def latest_reviews(reviews: DataFrame, count: int = DEFAULTS.review_count, seq: str = "review_seq") -> DataFrame:
     """Newest `count` reviews of every app, undated ones last."""
-    order = [F.desc_nulls_last("review_date"), F.asc(seq)]
-    return top_n_per_key(reviews, ["app_id"], order, count, spread=seq)
+    return newest(reviews, "app_id", "review_date", seq, count)
 
 
 def bulk_reviews(feeds: list[DataFrame], count: int = DEFAULTS.bulk_review_count, seq: str = "review_seq") -> DataFrame:

@@ -220,7 +220,7 @@ def matched_samples(reviews: DataFrame, apps: DataFrame, count: int) -> DataFram
 
 def skipped_competitors(records: DataFrame, reviews: DataFrame, reason: str = "No reviews returned") -> DataFrame:
     """Competitors without a single review; the others go on."""
-    collected = reviews.select(F.col("app_id").alias("competitor_id"))
+    collected = reviews.select(F.col("app_id").alias("competitor_id")).distinct()
     return records.join(collected, "competitor_id", "left_anti").withColumn("reason", F.lit(reason))
 
 
