@@ -168,6 +168,8 @@ class Settings:
     feature_limit: int = 10
     theme_limit: int = 5
     evidence_limit: int = 6
+    evidence_question: str = "%s competitors product features release notes"
+    evidence_stopwords: tuple[str, ...] = ()
     override_batch_rows: int = 100
     positive_words: tuple[str, ...] = POSITIVE_WORDS
     negative_words: tuple[str, ...] = NEGATIVE_WORDS

@@ -227,22 +227,31 @@ def comparisons(delta_rows: DataFrame) -> DataFrame:
     )
 
 
-def market_position(profiles: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rank of every own app among itself and its competitors: one plus those strictly ahead."""
+def market_position(profiles: DataFrame, pairs: DataFrame, own_apps: DataFrame | None = None) -> DataFrame:
+    """Rank of every own app among itself and its competitors: one plus those strictly ahead.
+
+    `own_apps` (app_id) adds apps without competitors: no rank, out of one.
+    """
     joined = paired(profiles, pairs)
     own = F.struct("own_average_rating", "own_positive_rate")
     rival = F.struct(
         F.col("rival_average_rating").alias("own_average_rating"), F.col("rival_positive_rate").alias("own_positive_rate")
     )
     ranked = joined.groupBy("own_id").agg((F.count_if(rival > own) + 1).alias("rank"), (F.count("*") + 1).alias("out_of"))
-    apps = pairs.select("own_id").distinct()
+    apps = own_ids(pairs, own_apps)
     return apps.join(ranked, "own_id", "left").withColumn("out_of", F.coalesce("out_of", F.lit(1)))
 
 
-def competitor_table(profiles: DataFrame, pairs: DataFrame, apps: DataFrame) -> DataFrame:
+def own_ids(pairs: DataFrame, own_apps: DataFrame | None = None) -> DataFrame:
+    """Own apps of the pairs, and of `own_apps` (app_id) if given, once each."""
+    ids = pairs.select("own_id")
+    return (ids if own_apps is None else ids.union(own_apps.select("app_id"))).filter("own_id IS NOT NULL").distinct()
+
+
+def competitor_table(profiles: DataFrame, pairs: DataFrame, apps: DataFrame, own_apps: DataFrame | None = None) -> DataFrame:
     """The thirteen comparison columns, the own app first, then its competitors."""
     rows = pairs.select("own_id", F.col("competitor_id").alias("app_id"), (F.col("position") + 1).alias("position"))
-    own = pairs.select("own_id", F.col("own_id").alias("app_id"), F.lit(0).alias("position")).distinct()
+    own = own_ids(pairs, own_apps).select("own_id", F.col("own_id").alias("app_id"), F.lit(0).alias("position"))
     listed = own.unionByName(rows).join(profiles.filter("available"), "app_id").join(apps, "app_id", "left")
 
     def shown(column):

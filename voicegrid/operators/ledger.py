@@ -7,7 +7,9 @@ kind ('create' or 'update'), app_name, app_id, status, step, payload
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EVENT_SCHEMA = (
@@ -32,6 +34,36 @@ def created(requests: DataFrame, now: Column | None = None) -> DataFrame:
     )
 
 
+class Recorder:
+    """Appends the events of one run to a folder of event files; without a folder it does nothing."""
+
+    def __init__(self, spark: SparkSession, folder: str | None, run_id: str):
+        self.spark, self.folder, self.run_id, self.number = spark, folder, run_id, 0
+
+    def _append(self, kind: str, app_name=None, app_id=None, status=None, step=None, payload=None, error=None) -> None:
+        if self.folder is None:
+            return
+        now = datetime.datetime.now(datetime.timezone.utc)
+        row = (self.run_id, self.number, now, kind, app_name, app_id, status, step, payload or {}, error)
+        self.spark.createDataFrame([row], EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(self.folder)
+        self.number += 1
+
+    def create(self, app_name: str | None = None, app_id: str | None = None) -> None:
+        self._append("create", app_name, app_id, "running", "created")
+
+    def step(self, name: str, status: str | None = None, payload: dict[str, str] | None = None) -> None:
+        self._append("update", status=status, step=name, payload=payload)
+
+    def fail(self, error: Exception) -> None:
+        values = failure(self.run_id, error)
+        self._append("update", status=values["status"], step=values["step"], error=values["error"])
+
+
+def recorded(spark: SparkSession, folder: str) -> DataFrame:
+    """All events of a folder."""
+    return spark.read.schema(EVENT_SCHEMA).parquet(folder)
+
+
 def _last_given(column: str) -> Column:
     """Latest value that is neither null nor empty."""
     given = F.col(column).isNotNull() & (F.col(column) != "")

@@ -36,9 +36,10 @@ def value_counts(df: DataFrame, column: str, keys=()) -> DataFrame:
     return counted.orderBy(*keys, F.desc("reviews"), column)
 
 
-def distributions(df: DataFrame, columns=DIMENSIONS) -> DataFrame:
-    """Value counts of several columns from one pass, with grouping sets."""
-    grouped = df.groupingSets([[c] for c in columns], *columns).agg(
+def distributions(df: DataFrame, columns=DIMENSIONS, keys=()) -> DataFrame:
+    """Value counts of several columns from one pass, with grouping sets; per value of `keys`, if given."""
+    keys = list(keys)
+    grouped = df.groupingSets([[*keys, c] for c in columns], *keys, *columns).agg(
         F.count("*").alias("reviews"), F.grouping_id().alias("_set")
     )
     full = (1 << len(columns)) - 1
@@ -47,7 +48,7 @@ def distributions(df: DataFrame, columns=DIMENSIONS) -> DataFrame:
         own = F.col("_set") == (full & ~(1 << (len(columns) - 1 - i)))
         dimension = F.when(own, c) if dimension is None else dimension.when(own, c)
         value = F.when(own, F.col(c)) if value is None else value.when(own, F.col(c))
-    named = grouped.select(dimension.alias("dimension"), value.alias("value"), "reviews")
+    named = grouped.select(*keys, dimension.alias("dimension"), value.alias("value"), "reviews")
     return named.filter(F.col("value").isNotNull())
 
 
