@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, Normalizer, StringIndexer
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, IndexToString, Normalizer, StringIndexer
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -102,12 +103,12 @@ def fit(train_rows: DataFrame, label: str = "category", weight: str | None = Non
         learner = learner.setWeightCol(weight)
     indexer = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="error")
     labels = indexer.fit(train_rows)
-    stages = [
-        CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=max_features, minDF=float(min_df)),
-        IDF(inputCol="counts", outputCol="scaled"),
-        Normalizer(inputCol="scaled", outputCol="features"),
-    ]
-    text_model = Pipeline(stages=stages).fit(train_rows)
+    counter = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=max_features, minDF=float(min_df)).fit(train_rows)
+    counted = counter.transform(train_rows)
+    rarity = IDF(inputCol="counts", outputCol="scaled").fit(counted).idf.toArray()
+    # The smoothed weight is one more than Spark's, so a term of all documents keeps some.
+    weights = ElementwiseProduct(inputCol="counts", outputCol="scaled", scalingVec=Vectors.dense(rarity + 1.0))
+    text_model = PipelineModel(stages=[counter, weights, Normalizer(inputCol="scaled", outputCol="features")])
     prepared = labels.transform(text_model.transform(train_rows))
     model = learner.fit(prepared)
     names = IndexToString(inputCol="prediction", outputCol="predicted", labels=labels.labels)
@@ -129,15 +130,11 @@ def _classifier(model: PipelineModel):
 
 
 def vocabulary_hits(df: DataFrame, vocabulary: DataFrame, key: str, column: str, **options) -> DataFrame:
-    """Distinct in-vocabulary terms per row, 0 when there is none.
-
-    The vocabulary is limited when it is fitted (30 000 terms), which bounds the
-    broadcast side.
-    """
+    """Distinct in-vocabulary terms per row, 0 when there is none; the vocabulary's size decides how it is joined."""
     known = vocabulary.select("term")
     found = (
         term_table(df, key, column, **options)
-        .join(F.broadcast(known), "term", "left_semi")
+        .join(known, "term", "left_semi")
         .groupBy(key)
         .agg(F.count("*").alias("vocabulary_hits"))
     )
@@ -207,6 +204,14 @@ def train(dataset: DataFrame, seq: str = "review_seq", seed: int = 42, balanced:
     return model, predictions
 
 
+def metrics(predictions: DataFrame) -> dict[str, DataFrame]:
+    """What a training reports about its held-out rows: report, diagnostics and calibration of the confidence."""
+    from voicegrid.operators.summary import confidence_diagnostics
+
+    spans = confidence_diagnostics(predictions.withColumnRenamed("confidence", "prediction_confidence"), 4)
+    return {"report": class_report(predictions), "diagnostics": spans, "calibration": calibration(predictions)}
+
+
 # --- evaluation ----------------------------------------------------------------
 
 def accuracy(predictions: DataFrame) -> DataFrame:

@@ -52,25 +52,54 @@ def ml_class_weight(t: Tables):
 @lru_cache(maxsize=4)
 def trained(spark, folder: str):
     """One trained model per session and folder, shared by the queries below."""
-    model, predictions = classify.train(Tables(spark, folder).reviews(), iterations=5, max_features=2000)
+    model, predictions = classify.train(Tables(spark, folder).reviews())
     return model, materialize(predictions, "predictions")
 
 
-@query("ml_fit")
+TRAIN_CTE = rf"""{SPLIT_CTE}, split AS (SELECT r.review_seq, r.category, review_text, row_number() OVER (PARTITION BY r.category
+ ORDER BY md5('42:' || review_seq), review_seq) <= quota AS is_test FROM reviews r JOIN quotas q ON r.category = q.category),
+ learned AS (SELECT review_seq, {_TOKENS} AS tokens FROM split WHERE NOT is_test),
+ known AS (SELECT term FROM (SELECT review_seq, unnest(list_distinct(list_concat(tokens,
+ [tokens[i] || ' ' || tokens[i + 1] FOR i IN range(1, len(tokens))]))) AS term FROM learned) GROUP BY term HAVING count(*) >= 2)"""
+
+
+@query(
+    "ml_fit", reviews=True, ctes=TRAIN_CTE,
+    sql="""SELECT category AS label, count(*) AS support, true AS consistent FROM split WHERE is_test GROUP BY category
+ UNION ALL SELECT label, (SELECT count(*) FROM split WHERE is_test), true FROM (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) AS v(label)""",
+)
 def ml_fit(t: Tables):
-    """Held-out report of a freshly trained model."""
-    return classify.class_report(trained(t.spark, t.folder)[1])
+    """Held-out report of a freshly trained model: supports, and whether the scores fit each other."""
+    report = classify.metrics(trained(t.spark, t.folder)[1])["report"]
+    p, r, f1 = F.col("precision"), F.col("recall"), F.col("f1")
+    harmonic = F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0))
+    mean = F.col("label").isin("macro avg", "weighted avg")
+    sound = p.between(0, 1) & r.between(0, 1) & f1.between(0, 1) & (mean | (F.abs(f1 - harmonic) < 1e-9))
+    return report.select("label", "support", sound.alias("consistent"))
 
 
-@query("ml_predict")
+@query(
+    "ml_predict", reviews=True,
+    sql="SELECT review_seq, true AS known_label, true AS sure_enough, true AS routed FROM reviews",
+)
 def ml_predict(t: Tables):
+    """Every review scored: a known label, a confidence of a best label at least, and the route they lead to."""
     scored = classify.score(t.reviews(), trained(t.spark, t.folder)[0])
-    return scored.select("review_seq", "category", "prediction_confidence", "review_route")
+    low = F.col("prediction_confidence") < 0.6
+    route = F.when(~low, "model_confident").when(F.col("vocabulary_hits") == 0, "translation_or_human").otherwise("llm_ambiguity")
+    return scored.select(
+        "review_seq", F.col("category").isin(*CATEGORY_LABELS).alias("known_label"),
+        F.col("prediction_confidence").between(1 / len(CATEGORY_LABELS) - 1e-9, 1.0).alias("sure_enough"),
+        (F.col("review_route") == route).alias("routed"),
+    )
 
 
-@query("ml_dim_check", sql="SELECT 2000 AS width, TRUE AS agrees")
+@query(
+    "ml_dim_check", reviews=True, ctes=TRAIN_CTE,
+    sql="SELECT least(count(*), 30000)::INT AS width, true AS agrees FROM known",
+)
 def ml_dim_check(t: Tables):
-    """Text features and classifier of the trained model have the same width."""
+    """Text features and classifier of the trained model have the same width: the terms of two training rows or more."""
     model, predictions = trained(t.spark, t.folder)
     classify.check_width(model)
     width = len(classify.vocabulary_of(model))
@@ -106,7 +135,7 @@ def ml_argmax_label(t: Tables):
 
 
 @query(
-    "ml_vocab_hits", reviews=True, ctes=f"{UNI_CTE}, {STATS_CTE}, vocab AS (SELECT term FROM stats ORDER BY corpus_tf DESC, term LIMIT 500)",
+    "ml_vocab_hits", reviews=True, ctes=f"{UNI_CTE}, {STATS_CTE}, vocab AS (SELECT term FROM stats ORDER BY corpus_tf DESC, term LIMIT 30000)",
     sql="""SELECT review_seq, count(v.term) AS vocabulary_hits FROM reviews LEFT JOIN terms USING (review_seq)
  LEFT JOIN vocab v USING (term) GROUP BY review_seq""",
 )
@@ -114,7 +143,7 @@ def ml_vocab_hits(t: Tables):
     from voicegrid.operators import features
 
     rows = t.reviews().select("review_seq", "review_text")
-    vocabulary = features.fit_vocabulary(rows, "review_seq", "review_text", max_features=500, bigrams=False)
+    vocabulary = features.fit_vocabulary(rows, "review_seq", "review_text", max_features=classify.MAX_FEATURES, bigrams=False)
     hits = classify.vocabulary_hits(rows, vocabulary, "review_seq", "review_text", bigrams=False)
     return hits.select("review_seq", "vocabulary_hits")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voicegrid.config import CONFIDENCE_BINS, ISSUE_CATEGORIES, RATE_CATEGORIES
@@ -74,6 +75,59 @@ def sum_distributions(t: Tables):
     return summary.distributions(analyzed(t))
 
 
+@query(
+    "sum_distributions_by_app", reviews=True, ctes=ANALYZED_CTE,
+    sql=" UNION ALL ".join(
+        f"SELECT app_id, '{c}' AS dimension, {c} AS value, count(*) AS reviews FROM analyzed GROUP BY app_id, {c}" for c in summary.DIMENSIONS
+    ),
+)
+def sum_distributions_by_app(t: Tables):
+    """The three distributions of every app's summary in one pass."""
+    return summary.distributions(analyzed(t), keys=["app_id"])
+
+
+@query(
+    "sum_diagnostics_by_app", reviews=True, ctes=SPOKEN_CTE,
+    sql="""SELECT app_id, round_even(min(prediction_confidence) * 1000, 0) / 1000 AS minimum,
+ round_even(max(prediction_confidence) * 1000, 0) / 1000 AS maximum, round_even(avg(prediction_confidence) * 1000, 0) / 1000 AS mean,
+ count(*) FILTER (requires_llm_review) AS llm_ambiguity_reviews,
+ count(*) FILTER (review_route = 'translation_or_human') AS translation_or_human_reviews FROM analyzed GROUP BY app_id""",
+)
+def sum_diagnostics_by_app(t: Tables):
+    """Confidence and open routes of every app's summary."""
+    rows = spoken(t)
+    return summary.confidence_diagnostics(rows, keys=["app_id"]).join(summary.route_counts(rows, ["app_id"]), "app_id")
+
+
+# Every source is an own app, with the next two sources as its competitors; the last has none.
+RUN_CTE = """ids AS (SELECT DISTINCT source AS app_id FROM documents WHERE source IS NOT NULL),
+ numbered AS (SELECT app_id, row_number() OVER (ORDER BY app_id) AS n FROM ids),
+ sampled AS (SELECT * FROM dated WHERE app_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY app_id
+ ORDER BY review_date DESC NULLS LAST, review_seq) <= 1000)"""
+
+
+@query(
+    "run_summary", dated=True, ctes=RUN_CTE,
+    sql="""SELECT app_id, count(*) AS total_reviews, round_even(avg(rating) * 100, 0) / 100 AS average_rating,
+ count(*) FILTER (prediction_confidence < 0.6) AS low_confidence_reviews,
+ round_even(avg(prediction_confidence) * 1000, 0) / 1000 AS average_confidence,
+ (SELECT count(*) FROM numbered b WHERE b.n IN (a.n + 1, a.n + 2)) AS competitors
+ FROM sampled JOIN numbered a USING (app_id) GROUP BY app_id, a.n""",
+)
+def run_summary(t: Tables):
+    """The whole run over all apps: its summary per app, and how many competitors each was compared with."""
+    from voicegrid.plans import pipeline
+
+    ids = t.documents.select(F.col("source").alias("app_id")).dropna().distinct()
+    spans = ids.select("app_id", F.row_number().over(W.orderBy("app_id")).alias("n"))
+    after = spans.select(F.col("app_id").alias("competitor_id"), F.col("n").alias("m"))
+    ahead = spans.select(F.col("app_id").alias("own_id"), F.explode(F.array(F.col("n") + 1, F.col("n") + 2)).alias("m"), "n")
+    pairs = ahead.join(after, "m").select("own_id", "competitor_id", (F.col("m") - F.col("n") - 1).alias("position"))
+    result = pipeline.run("run-1", classify.route(t.dated()), pairs, ids, own_apps=ids)
+    compared = result.market_position.select(F.col("own_id").alias("app_id"), (F.col("out_of") - 1).alias("competitors"))
+    return result.summary.join(compared, "app_id")
+
+
 @query(
     "sum_conf_diag", reviews=True,
     sql="""SELECT round_even(min(prediction_confidence) * 1000, 0) / 1000 AS minimum,
