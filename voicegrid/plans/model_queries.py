@@ -106,6 +106,38 @@ def ml_dim_check(t: Tables):
     return predictions.agg(F.lit(width).alias("width"), (F.count("*") > 0).alias("agrees"))
 
 
+@query(
+    "ml_term_scores", reviews=True, ctes=TRAIN_CTE + """, held AS (SELECT term, category, count(*)::DOUBLE AS o FROM (SELECT s.category,
+ unnest(list_distinct(list_concat(tokens, [tokens[i] || ' ' || tokens[i + 1] FOR i IN range(1, len(tokens))]))) AS term
+ FROM learned JOIN split s USING (review_seq)) GROUP BY ALL), ns AS (SELECT category, count(*)::DOUBLE AS c FROM split WHERE NOT is_test GROUP BY 1),
+ dfs AS (SELECT term, sum(o) AS df FROM held GROUP BY term HAVING sum(o) >= 2), n AS (SELECT sum(c) AS n FROM ns),
+ cells AS (SELECT dfs.term, df, coalesce(o, 0) AS o, c, n FROM dfs CROSS JOIN n CROSS JOIN ns
+ LEFT JOIN held ON held.term = dfs.term AND held.category = ns.category)""",
+    sql="""SELECT term, df::BIGINT AS df, round(sum((o - df * c / n) ** 2 / (df * c / n)
+ + CASE WHEN n > df THEN (c - o - (n - df) * c / n) ** 2 / ((n - df) * c / n) ELSE 0 END), 6) AS score FROM cells GROUP BY term, df""",
+)
+def ml_term_scores(t: Tables):
+    """Chi-square of every term of the training rows against the label."""
+    from voicegrid.operators import trees
+
+    rows = classify.with_terms(classify.stratified_split(t.reviews()).filter("NOT is_test"))
+    return trees.term_scores(rows).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "ml_fit_trees", reviews=True, ctes=TRAIN_CTE,
+    sql="SELECT category AS label, count(*) AS support, true AS sound FROM split WHERE is_test GROUP BY category",
+)
+def ml_fit_trees(t: Tables):
+    """Held-out supports of boosted trees, and whether every probability list sums to one and leads to its label."""
+    from voicegrid.operators import trees
+
+    _, told = trees.train_trees(t.reviews())
+    whole = F.aggregate("probabilities", F.lit(0.0), lambda s, p: s + p)
+    sound = (F.abs(whole - 1) < 1e-9) & (F.col("confidence") == F.array_max("probabilities")) & F.col("predicted").isin(*CATEGORY_LABELS)
+    return told.groupBy(F.col("actual").alias("label")).agg(F.count("*").alias("support"), F.bool_and(sound).alias("sound"))
+
+
 def probabilities(t: Tables):
     """Three class probabilities per review; none where the rating is missing."""
     c = F.col("prediction_confidence")
