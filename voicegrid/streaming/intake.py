@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from voicegrid.operators.intake import review_key
 from voicegrid.sources.readers import RAW_REVIEWS
 
+NAMED_APPS = 1000
+FILES_PER_APP = 8
+
 
 def review_pages(spark: SparkSession, folder: str, schema: str = RAW_REVIEWS, pages_per_batch: int = 200) -> DataFrame:
     """Stream of raw review rows from CSV pages, with a stable key."""
@@ -33,6 +36,19 @@ def review_pages(spark: SparkSession, folder: str, schema: str = RAW_REVIEWS, pa
     return pages.withColumn("review_key", key)
 
 
+def of_apps(stored: DataFrame, apps: DataFrame, most: int = NAMED_APPS) -> DataFrame:
+    """Rows of `stored` (partitioned by app_id) whose app is among the distinct `apps`; only their folders are read.
+
+    Up to `most` apps are named in the filter, which prunes partitions when the plan is made; more are joined by equality.
+    """
+    first = [r["app_id"] for r in apps.limit(most + 1).collect()]
+    if len(first) <= most:
+        named = F.col("app_id").isin([a for a in first if a is not None])
+        return stored.filter(named | F.col("app_id").isNull() if None in first else named)
+    equal = stored.join(apps.filter("app_id IS NOT NULL"), "app_id", "left_semi")
+    return equal.unionByName(stored.filter("app_id IS NULL")) if apps.filter("app_id IS NULL").count() else equal
+
+
 def append_raw(reviews: DataFrame, path: str, checkpoint: str):
     """Merge new reviews into the raw table, partitioned by app; reads what is there and stops.
 
@@ -44,11 +60,12 @@ def append_raw(reviews: DataFrame, path: str, checkpoint: str):
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(["review_key"])
         if _exists(spark, path):
-            apps = batch.select("app_id").distinct()
             stored = spark.read.schema(batch.schema).parquet(path).select("app_id", "review_key")
-            stored = stored.join(apps.withColumnRenamed("app_id", "_app"), F.col("app_id").eqNullSafe(F.col("_app")), "left_semi")
-            fresh = fresh.join(stored.select("review_key"), "review_key", "left_anti").select(*batch.columns)
-        fresh.write.mode("append").partitionBy("app_id").parquet(path)
+            known = of_apps(stored, batch.select("app_id").distinct()).select("review_key")
+            fresh = fresh.join(known, "review_key", "left_anti").select(*batch.columns)
+        # A few files per app and batch, also of an app that holds most of the reviews.
+        slot = F.pmod(F.xxhash64("review_key"), F.lit(FILES_PER_APP))
+        fresh.repartition("app_id", slot).write.mode("append").partitionBy("app_id").parquet(path)
 
     return (
         reviews.writeStream.foreachBatch(merge)
