@@ -357,3 +357,41 @@ def test_recall_of_unequal_lengths(spark):
     want = ann.exact(table, range(0, 8000, 100))
     hits = sum(len(set(part["vec_id"]) & set(want[q])) for q, part in got.groupby("query_id"))
     assert hits / (20 * len(want)) >= 0.9
+
+
+def test_weak_labels_and_scores_equal_a_row_by_row_version(spark):
+    rnd = random.Random(6)
+    words = "the of and to in is that it was for on are as with his they at be this from have or by one had not but what all were when".split()
+    texts = [" ".join(rnd.choices(words, k=rnd.randrange(3, 90))) for _ in range(60)]
+    texts += ["BUY NOW!!! " * 20, "$$$ ### %%%", "", "a", "x" * 500, "word " * 200, "1234 5678 " * 30] * 3
+    got = quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)).toPandas().sort_values("doc_id")
+    shown = np.array([quality.votes(t.encode()) for t in texts])
+    # Every document by itself instead of counts of patterns.
+    bad, good = (shown == quality.BAD).sum(axis=1), (shown == quality.GOOD).sum(axis=1)
+    posterior, count = np.where(bad > 0, 0.2, 0.5 + 0.5 * good / shown.shape[1]), len(texts)
+    weight = 1 + 0.02 * count
+    for _ in range(200):
+        share, logs = (posterior.sum() + 1) / (count + 2), []
+        for k, part in enumerate((1 - posterior, posterior)):
+            total = np.zeros(count)
+            for labeller in range(shown.shape[1]):
+                held = np.array([part[shown[:, labeller] == v].sum() for v in (quality.BAD, quality.GOOD, quality.SKIP)]) + weight * quality.BELIEF[k]
+                shares = dict(zip((quality.BAD, quality.GOOD, quality.SKIP), held / held.sum()))
+                total += np.log([shares[v] for v in shown[:, labeller]])
+            logs.append(total)
+        after = 1 / (1 + np.exp(logs[0] + np.log(1 - share) - logs[1] - np.log(share)))
+        if np.abs(after - posterior).max() < 1e-9:
+            posterior = after
+            break
+        posterior = after
+    assert np.allclose(got["weak_label"], posterior, atol=1e-6)
+    different = sorted(set(texts))
+    label = dict(zip(texts, posterior))
+    matrix = np.zeros((len(different), 1 << quality.BITS))
+    for n, t in enumerate(different):
+        where, values = quality.features(t.encode())
+        matrix[n, where] = values
+    weights = quality.train(matrix, np.array([label[t] for t in different]))
+    for t, s in zip(texts, got["score"]):
+        where, values = quality.features(t.encode())
+        assert abs(s - 1 / (1 + np.exp(-(values @ weights[where] + weights[-1])))) < 1e-3

@@ -102,10 +102,11 @@ def train(matrix: np.ndarray, target: np.ndarray, steps: int = 300, rate: float
     """Weights (the last is the bias) of a logistic scorer for soft targets, by gradient steps with momentum."""
     weights = np.zeros(matrix.shape[1] + 1)
     speed = np.zeros_like(weights)
+    kind = matrix.dtype  # a product of two kinds would copy the whole matrix in every step
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-(matrix @ weights[:-1] + weights[-1])))
+        p = 1 / (1 + np.exp(-(matrix @ weights[:-1].astype(kind) + weights[-1])))
         gap = p - target
-        slope = np.append(matrix.T @ gap / len(target) + penalty * weights[:-1], gap.mean())
+        slope = np.append(matrix.T @ gap.astype(kind) / len(target) + penalty * weights[:-1], gap.mean())
         speed = 0.9 * speed - rate * slope
         weights += speed
     return weights
@@ -131,20 +132,21 @@ def score(
 
     def sampled(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = [(x.as_py(), *features(x.as_py(), bits)) for x in part.column(0)]
+            found = [(x.as_py(), *features(x.as_py(), bits)) for x in part.column(1)]
             yield pa.RecordBatch.from_arrays([
+                part.column(0),
                 pa.array([weak.get(sum(v * 3**i for i, v in enumerate(votes(t))), share) for t, _, _ in found]),
                 pa.array([b.tolist() for _, b, _ in found], pa.list_(pa.int32())),
                 pa.array([v.tolist() for _, _, v in found], pa.list_(pa.float32())),
-            ], names=["target", "buckets", "shares"])
+            ], names=["h", "target", "buckets", "shares"])
 
     # Different texts, in a fixed random order; the sample's features are at most fit_rows by 2^bits numbers.
     order = rows.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(fit_rows)
     chosen = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(materialize(order, "quality-sample")), "h", "left_semi")
-    chosen = chosen.groupBy("h").agg(F.min("text").alias("text")).select("text")
+    chosen = chosen.groupBy("h").agg(F.min("text").alias("text")).select("h", "text")
     matrix, target = np.zeros((fit_rows, 1 << bits), dtype=np.float32), np.zeros(fit_rows)
     used = 0
-    for r in chosen.mapInArrow(sampled, "target double, buckets array<int>, shares array<float>").orderBy("target").toLocalIterator():
+    for r in chosen.mapInArrow(sampled, "h bigint, target double, buckets array<int>, shares array<float>").orderBy("target", "h").toLocalIterator():
         matrix[used, r["buckets"]] = r["shares"]
         target[used], used = r["target"], used + 1
     weights = train(matrix[:used], target[:used]) if used else np.zeros((1 << bits) + 1)
