@@ -4,8 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from voicegrid.operators import ledger
-from voicegrid.streaming import intake
+from voicegrid.operators import compete, ledger
+from voicegrid.streaming import intake, profiles
 from voicegrid.streaming import ledger as stream
 
 
@@ -51,3 +51,26 @@ def test_only_folders_of_the_batch_are_read(spark, tmp_path):
     plan = intake.of_apps(stored, spark.createDataFrame([("a",)], "app_id string"))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: []" not in plan and "Join" not in plan
     assert intake.of_apps(stored, rows.select("app_id").distinct()).filter(F.col("app_id") == "b").count() == 3
+
+
+@pytest.mark.parametrize("merge", [2, 64])
+def test_measures_after_three_increments_equal_the_recomputation(spark, tmp_path, merge):
+    rnd = random.Random(3)
+    schema = "app_id string, review_text string, category string, sentiment string, rating double, prediction_confidence double, needs_human_review boolean"
+    rows = [(
+        rnd.choice(["hot", "hot", "b", None]), rnd.choice(["the app crashes often", "great music", "slow battery drain", "", None, "日本"]),
+        rnd.choice(["Bug", "Praise", "UI Issue", None]), rnd.choice(["Positive", "Negative", "Neutral"]),
+        rnd.choice([None, 1.0, 4.0, 5.0]), rnd.choice([None, 0.25, 0.5, 1.0]), rnd.choice([True, False, None]),
+    ) for _ in range(300)]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for at in range(0, 300, 100):
+        spark.createDataFrame(rows[at:at + 100], schema).repartition(2).write.mode("append").parquet(source)
+        stream_in = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        profiles.keep_measures(stream_in, out, str(tmp_path / "check"), merge=merge).awaitTermination()
+    everything = spark.createDataFrame(rows, schema)
+    want = {tuple(r) for r in compete.measured(everything).select(*sorted(compete.measured(everything).columns)).collect()}
+    got = profiles.measures(spark, out)
+    assert {tuple(r) for r in got.select(*sorted(got.columns)).collect()} == want
+    whole = compete.profile(everything)
+    kept = profiles.profiles(spark, out).select("app_id", "average_rating", "praise_rate", "issue_rate").collect()
+    assert {tuple(r) for r in kept} == {tuple(r) for r in whole.select("app_id", "average_rating", "praise_rate", "issue_rate").collect()}

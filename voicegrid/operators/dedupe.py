@@ -90,9 +90,11 @@ def unit_vectors(units: DataFrame, threshold: float = DEFAULTS.dedupe_threshold)
         t["tf"].alias("tf"),
     ))
     squares = F.transform("bag", lambda t: t["tf"] * t["tf"] * F.col("alone") * F.col("alone"))
-    terms = counted.withColumn("alone_squares", vectors.total(squares)).select(
-        "unit", "app_rows", "copies", "alone", "alone_squares", F.inline(keyed)
+    # Bags take far longer to build than to read, and are needed twice: for the counts of terms and for the vectors.
+    bags = materialize(
+        counted.select("unit", "app_rows", "copies", "alone", vectors.total(squares).alias("alone_squares"), keyed.alias("keyed")), "bags"
     )
+    terms = bags.select("unit", "app_rows", "copies", "alone", "alone_squares", F.inline("keyed"))
     stats = (
         terms.groupBy("k1", "k2")
         .agg(F.sum("copies").alias("df"), F.count("*").alias("units"), F.max("app_rows").alias("app_rows"))
