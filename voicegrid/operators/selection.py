@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from voicegrid.operators.skew import join_frequent, top_n_per_key
 from voicegrid.session import materialize
 
-# A histogram by day, then one by minute inside the day that holds the cut-off.
-WIDTHS = (86_400_000_000, 60_000_000)
+# Width of a histogram's bucket: a day.
+WIDTH = 86_400_000_000
 # One narrow row per key is broadcast up to this many keys.
 KEYS_SENT = 1_000_000
 
@@ -20,27 +20,25 @@ def moment(column: Column) -> Column:
     return F.coalesce(F.unix_micros(column.cast("timestamp")), F.lit(-(1 << 62)))
 
 
-def cut_offs(rows: DataFrame, count: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+def cut_offs(rows: DataFrame, count: int, width: int = WIDTH) -> DataFrame:
     """Stored (key, rows, until, last) of (key, at, seq): the `count` newest have at > until, or at = until and seq <= last.
 
-    `until` is null for keys with no more rows than that. Histograms narrow the search: per key first the day of the cut-off, then
-    its minute. Only rows of that bucket are ranked, in two levels, as all rows of a key may have one moment.
+    `until` is null for keys with no more rows than that. A histogram tells each key's day of the cut-off. Only rows of that day are
+    ranked, in two levels, as all rows of a key may have one day.
     """
-    totals = rows.groupBy("key").agg(F.count("*").alias("rows"))
-    inside, sizes = rows.withColumn("need", F.lit(count).cast("bigint")), totals
-    for width in widths:
-        bucket = F.floor(F.col("at") / F.lit(width)).cast("bigint")
-        counted = inside.groupBy("key", "need", bucket.alias("bucket")).agg(F.count("*").alias("held"))
-        newer = W.partitionBy("key").orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)
-        border = counted.withColumn("newer", F.coalesce(F.sum("held").over(newer), F.lit(0))).filter("newer < need AND newer + held >= need")
-        border = materialize(border.select("key", "bucket", "held", (F.col("need") - F.col("newer")).alias("need")), "cut-off-buckets")
-        placed = rows.withColumn("bucket", bucket)
-        inside = join_frequent(placed, border, ["key", "bucket"], "held", hot_keys=KEYS_SENT, stored=True).drop("bucket", "held")
+    bucket = F.floor(F.col("at") / F.lit(width)).cast("bigint")
+    held = materialize(rows.groupBy("key", bucket.alias("bucket")).agg(F.count("*").alias("held")), "histogram")
+    newer = W.partitionBy("key").orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)
+    border = held.withColumn("newer", F.coalesce(F.sum("held").over(newer), F.lit(0))).filter(
+        (F.col("newer") < count) & (F.col("newer") + F.col("held") >= count)
+    )
+    border = border.select("key", "bucket", "held", (F.lit(count) - F.col("newer")).alias("need"))
+    inside = join_frequent(rows.withColumn("bucket", bucket), border, ["key", "bucket"], "held", hot_keys=KEYS_SENT, stored=True)
     order = [F.desc("at"), F.asc("seq")]
     ranked = top_n_per_key(inside, ["key"], order, count, spread="seq", slices=64)
     last = ranked.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(*order))).filter("rank = need")
-    found = sizes.join(last.select("key", F.col("at").alias("until"), F.col("seq").alias("last")), "key", "left")
-    return materialize(found, "cut-offs")
+    totals = held.groupBy("key").agg(F.sum("held").alias("rows"))
+    return materialize(totals.join(last.select("key", F.col("at").alias("until"), F.col("seq").alias("last")), "key", "left"), "cut-offs")
 
 
 def newest(df: DataFrame, key: str, time: str, seq: str, count: int) -> DataFrame:
