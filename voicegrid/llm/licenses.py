@@ -4,8 +4,9 @@ A text is made canonical: A-Z lower-cased, copyright lines dropped, equivalent s
 white space reduced to single spaces. The SHA-256 digest of the whole canonical text, and that of every line on its own, is
 hash-joined to the digests of known licence texts and notices, made canonical alike.
 
+The built-in list has whole texts of short licences, with their title line and without, notices of longer ones, and one-line statements.
 One result row per input row, scope ('document' or 'line') and known text found; a line that repeats within a document
-counts once. Null and empty texts hold nothing and give no row; repeated rows each give theirs; null ids are carried; an empty table gives
+counts once. Very long texts are whole texts like others, and very long lines lines. Null and empty texts hold nothing and give no row; repeated rows each give theirs; null ids are carried; an empty table gives
 an empty result; other columns are ignored. Nothing is grouped, so frequent sources and copies stay spread.
 """
 
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voicegrid.llm.license_texts import TEXTS
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*(?:copyright|©|\(c\)|all rights reserved)[^\n]*$"
 PUNCTUATION = "[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F©«»–—‘’“”… ]+"
@@ -44,13 +47,15 @@ KNOWN = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
             "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    *TEXTS,
 )
 
 
 def canonical_lines(text: Column) -> Column:
     """The canonical lines of a text that are not empty."""
     t = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, UPPER.lower())
-    t = F.regexp_replace(t, COPYRIGHT_LINE, "")
+    # Lines end at line feeds only, not at the other separators that Java knows.
+    t = F.regexp_replace(t, "(?d)" + COPYRIGHT_LINE, "")
     for spelling, form in EQUIVALENT:
         t = F.replace(t, F.lit(spelling), F.lit(form))
     lines = F.split(F.regexp_replace(t, PUNCTUATION, " "), "\n", -1)
