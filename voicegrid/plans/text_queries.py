@@ -294,18 +294,32 @@ def ft_numeric(t: Tables):
     return rows.select("review_seq", *features.NUMERIC_FEATURES)
 
 
-@query("ft_assemble")
+@query(
+    "ft_assemble", dated=True, ctes=f"""{TERM_CTE}, {STATS_CTE}, numbers AS (SELECT review_seq, coalesce(rating, 0) AS rating,
+ thumbs_up::DOUBLE AS thumbs_up, length(review_text)::DOUBLE AS review_length,
+ len(regexp_extract_all(review_text, '\\S+'))::DOUBLE AS word_count, replied::INTEGER::DOUBLE AS has_reply FROM dated),
+ held AS (SELECT review_seq, count(*) AS n FROM terms JOIN stats USING (term) WHERE df >= 3 GROUP BY review_seq)""",
+    sql="""SELECT numbers.*, (coalesce(n, 0) + (rating <> 0)::INT + (thumbs_up <> 0)::INT + (review_length <> 0)::INT + (word_count <> 0)::INT
+ + (has_reply <> 0)::INT)::INT AS non_zero FROM numbers LEFT JOIN held USING (review_seq)""",
+)
 def ft_assemble(t: Tables):
-    """Sparse text counts followed by five numbers, as one vector."""
-    from pyspark.ml.feature import CountVectorizer
+    """Sparse text counts followed by five numbers, as one vector: its last five entries, and how many are not zero."""
+    from pyspark.ml.feature import CountVectorizer, VectorSlicer
+    from pyspark.ml.functions import vector_to_array
 
     from voicegrid.operators.classify import with_terms
     from voicegrid.operators.intake import with_text_stats
 
     rows = with_terms(with_text_stats(t.dated()))
-    counted = CountVectorizer(inputCol="terms", outputCol="text_features", vocabSize=7000, minDF=3).fit(rows).transform(rows)
-    assembled = features.assemble(counted)
-    return assembled.select("review_seq", F.col("features").cast("string").alias("features"))
+    counter = CountVectorizer(inputCol="terms", outputCol="text_features", minDF=3).fit(rows)
+    assembled = features.assemble(counter.transform(rows)).select("review_seq", "features")
+    width = len(counter.vocabulary)
+    last = VectorSlicer(inputCol="features", outputCol="last", indices=list(range(width, width + len(features.NUMERIC_FEATURES))))
+    told = last.transform(assembled).withColumn("numbers", vector_to_array("last"))
+    return told.select(
+        "review_seq", *[F.get("numbers", F.lit(i)).alias(name) for i, name in enumerate(features.NUMERIC_FEATURES)],
+        F.size(F.unwrap_udt("features")["indices"]).alias("non_zero"),
+    )
 
 
 @query(
