@@ -161,6 +161,15 @@ def test_whitening_of_few_directions(spark, vectors, components):
         assert found["identity_error"].max() < 1e-9 and abs(found.drop_duplicates("component")["explained"].sum() - 1) < 1e-9
 
 
+@pytest.mark.parametrize("tasks", [1, 16, 17, 300])
+def test_matrices_of_many_tasks_are_added_in_levels(spark, tasks):
+    rows = spark.range(900).selectExpr("array(id, id % 7, id * id % 11) AS x").repartition(tasks)
+    points = np.array([r["x"] for r in rows.collect()], dtype=float)
+    got = whitening.scatter(rows, 3, lambda part: whitening._matrix(part.column(0), 3, np.float64))
+    assert np.array_equal(got, points.T @ points)
+    assert np.array_equal(whitening.scatter(rows.limit(0), 3, lambda part: whitening._matrix(part.column(0), 3, np.float64)), np.zeros((3, 3)))
+
+
 @pytest.mark.parametrize("width, rank", [(1, 1), (2, 1), (9, 9), (24, 24), (40, 11)])
 def test_factorisation(width, rank):
     rnd = np.random.default_rng(width)

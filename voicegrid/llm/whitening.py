@@ -1,8 +1,8 @@
 """Whitening of embeddings: pivoted Cholesky of the centred scatter, one-sided Jacobi on its triangular factor.
 
 Components are put on a grid, x = floor(scale * c), so that copies are equal numbers; the model is fitted on every different x
-once. Each task sums its own rows into one scatter matrix, centred by the exact mean before it multiplies, and
-the driver adds one matrix of dimensions x dimensions per block of tasks: bounded by the vectors' width, not by their number.
+once. Each task sums its own rows into one scatter matrix, centred by the exact mean before it multiplies. Matrices are added in
+groups of `GROUP`, level by level, until the driver adds the last few: bounded by the vectors' width, not by their number.
 
 The scatter is factored as V = P L L' P', pivoting on the largest remaining diagonal, until what remains is below
 rounding. Rotating pairs of columns of L until all are orthogonal gives L W = U S: the columns' squared lengths
@@ -17,7 +17,7 @@ all vectors are equal. A deviation past 64 bits is null. An empty table gives an
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,8 +31,8 @@ from voicegrid.session import materialize
 
 SCALE = 256
 COMPONENTS = 4
-# Partial matrices are added up in so many blocks before the driver adds the rest.
-BLOCKS = 16
+# So many partial matrices at most are added by one task, and by the driver in the end.
+GROUP = 16
 LARGEST = float(1 << 62)
 
 
@@ -103,15 +103,21 @@ def scatter(rows: DataFrame, width: int, points: Callable[[pa.RecordBatch], np.n
         )
 
     def added(frame: pd.DataFrame) -> pd.DataFrame:
-        whole = np.zeros(width * width)
-        for part in frame.sort_values("task")["part"]:
-            whole += np.frombuffer(part, "<f8")
-        return pd.DataFrame({"block": [frame["block"].iloc[0]], "part": [whole.tobytes()]})
-
-    tasks = rows.mapInArrow(batches, "task int, part binary").withColumn("block", F.pmod("task", F.lit(BLOCKS)))
-    blocks = tasks.groupBy("block").applyInPandas(added, "block int, part binary").collect()
-    whole = sum((np.frombuffer(r["part"], "<f8") for r in sorted(blocks, key=lambda r: r["block"])), np.zeros(width * width))
-    return whole.reshape(width, width)
+        return pd.DataFrame({"task": [frame["task"].iloc[0] // GROUP], "part": [_total(zip(frame["task"], frame["part"]), width).tobytes()]})
+
+    partial = materialize(rows.mapInArrow(batches, "task int, part binary"), "scatter")
+    while partial.count() > GROUP:
+        grouped = partial.groupBy(F.floor(F.col("task") / GROUP)).applyInPandas(added, "task int, part binary")
+        partial = materialize(grouped, "scatter")
+    return _total(partial.collect(), width).reshape(width, width)
+
+
+def _total(parts: Iterable[tuple[int, bytes]], width: int) -> np.ndarray:
+    """Sum of stored matrices, in the order of their numbers."""
+    whole = np.zeros(width * width)
+    for _, part in sorted(parts, key=lambda p: p[0]):
+        whole += np.frombuffer(part, "<f8")
+    return whole
 
 
 def pivoted_cholesky(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
