@@ -61,3 +61,13 @@ def test_stored_tables_are_small(spark):
     terms = vectors.selectExpr("sum(size(vector))").first()[0]
     added = sum(n for path, n in stored_bytes(spark).items() if path not in before)
     assert terms > 100_000 and added < 10 * terms
+
+
+def test_minhash_tells_terms_apart(spark):
+    """A term is its two keys together: neither alone may serve as its identity."""
+    rows = [(i, "a", f"{text} end{i}") for i, (_, _, text) in enumerate(t for t in texts(20, 120) for _ in range(2))]
+    units = dedupe.materialize(dedupe.collapse_copies(spark.createDataFrame(rows, "review_seq long, app_id string, review_text string")), "u")
+    vectors = dedupe.unit_vectors(units)
+    exact = {(r["a"], r["b"]) for r in dedupe.similarity_links(vectors).select("a", "b").collect()}
+    found = {(r["a"], r["b"]) for r in dedupe.minhash_links(vectors).select("a", "b").collect()}
+    assert exact == {(i, i + 1) for i in range(0, 40, 2)} and found == exact
