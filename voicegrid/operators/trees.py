@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voicegrid.operators.classify import argmax_label, class_weights, confidence, stratified_split, with_terms
@@ -20,21 +23,27 @@ from voicegrid.session import materialize
 
 SELECTED = 500
 ROUNDS, DEPTH, RATE, SHARE = 20, 5, 0.1, 0.9
+# Rows that ensembles trained at one time hold in all: about 2 kB each.
+ROWS_BESIDE = 6_000_000
 
 
 def term_scores(rows: DataFrame, label: str = "category", terms: str = "terms", min_df: int = 2) -> DataFrame:
     """(term, df, score): chi-square of a term's presence against the label.
 
-    One pass: documents are counted per (term, label) before anything is shuffled; labels are few.
+    One pass and one shuffle: documents are counted per term, one count to each label; labels are few.
     """
-    labels = rows.groupBy(label).agg(F.count("*").cast("double").alias("label_rows"))
-    labels = materialize(labels.withColumn("rows", F.sum("label_rows").over(W.partitionBy(F.lit(1)))), "label-rows")
-    held = rows.select(label, F.explode(F.array_distinct(terms)).alias("term")).groupBy("term", label).agg(F.count("*").alias("held"))
-    joined = held.join(F.broadcast(labels), label)
-    share = F.col("label_rows") / F.col("rows")
+    label_rows = rows.groupBy(label).agg(F.count("*").cast("double").alias("label_rows")).collect()  # one row per label
+    whole = sum(r["label_rows"] for r in label_rows)
+    known = sorted(((r[label], r["label_rows"] / whole) for r in label_rows if r[label] is not None), key=lambda k: str(k[0]))
+    if not known:
+        return rows.sparkSession.createDataFrame([], "term string, df bigint, score double")
+    counts = [F.count_if(F.col(label) == F.lit(name)).alias(f"held_{n}") for n, (name, _) in enumerate(known)]
+    held = rows.filter(F.col(label).isNotNull()).select(label, F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(*counts)
     # sum over labels of (held - expected)^2 / expected, where the labels without the term add their expected count.
-    summed = joined.groupBy("term").agg(
-        F.sum("held").alias("df"), F.sum(F.col("held") * F.col("held") / share).alias("squares"), F.first("rows").alias("rows")
+    squares = [F.col(f"held_{n}") * F.col(f"held_{n}") / F.lit(share) for n, (_, share) in enumerate(known)]
+    df = [F.col(f"held_{n}") for n in range(len(known))]
+    summed = held.select(
+        "term", reduce(add, df).alias("df"), reduce(add, squares).alias("squares"), F.lit(whole).alias("rows")
     ).filter(F.col("df") >= min_df)
     inside = F.col("squares") / F.col("df") - F.col("df")
     # The counts of documents without the term deviate by as much from a larger, or smaller, expectation.
@@ -95,16 +104,23 @@ def fit_trees(
     counted = counter.transform(train_rows)
     rarity = IDF(inputCol="counts", outputCol="features").fit(counted).idf.toArray()
     features = PipelineModel(stages=[counter, ElementwiseProduct(inputCol="counts", outputCol="features", scalingVec=Vectors.dense(rarity + 1.0))])
-    labels = [r[label] for r in train_rows.select(label).distinct().orderBy(label).collect()]  # one row per label
-    # Every round of every label reads the rows.
-    prepared = features.transform(train_rows).select(label, "features", *([weight] if weight else [])).persist()
-    ensembles = {}
-    for name in labels:
+    spark = train_rows.sparkSession
+    # Every level of every round of every label is a job over the rows: they are stored, and read as one partition per core.
+    stored = materialize(features.transform(train_rows).select(label, "features", *([weight] if weight else [])), "tree-rows")
+    prepared = stored.coalesce(spark.sparkContext.defaultParallelism).persist()
+    counted = {r[label]: r["count"] for r in prepared.groupBy(label).count().orderBy(label).collect()}  # one row per label
+
+    def ensemble(name: str) -> GBTClassificationModel:
         learner = GBTClassifier(
             labelCol="_is", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=share, seed=seed
         )
         learner = learner.setWeightCol(weight) if weight else learner
-        ensembles[name] = learner.fit(prepared.withColumn("_is", (F.col(label) == name).cast("double")))
+        return learner.fit(prepared.withColumn("_is", (F.col(label) == name).cast("double")))
+
+    # Such jobs are short, so labels are trained side by side, as many as keep their binned rows in memory.
+    beside = max(1, min(len(counted), ROWS_BESIDE // max(1, sum(counted.values()))))
+    with ThreadPoolExecutor(beside) as pool:
+        ensembles = dict(zip(counted, pool.map(inheritable_thread_target(spark)(ensemble), counted), strict=True))
     prepared.unpersist()
     return TreeModel(features, ensembles)
 
