@@ -87,3 +87,17 @@ def test_nothing_to_search(spark):
     index = search_index.build_index(spark.createDataFrame([], "app_id string, id long, text string"))
     asked = spark.createDataFrame([("a", 1, "word")], "app_id string, question_id long, text string")
     assert search_index.search(index, asked).count() == 0
+
+
+def test_scores_meet_documents_in_blocks(spark, monkeypatch):
+    """A document stands once in each slice of questions; it isn't joined to every candidate."""
+    monkeypatch.setattr(search_index, "BLOCK_DOCUMENTS", 16)
+    monkeypatch.setattr(search_index, "SLICE_QUESTIONS", 8)
+    rows, asked = corpus(7, 150)
+    index = search_index.build_index(spark.createDataFrame(rows, "app_id string, id long, text string"), STOP)
+    found = search_index.search(index, spark.createDataFrame(asked[:60], "app_id string, question_id long, text string"), 4).collect()
+    want = by_hand(rows, asked[:60], 4)
+    got = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        got.setdefault((r["app_id"], r["question_id"]), []).append(r["id"])
+    assert got == {k: [i for i, _ in v] for k, v in want.items()}

@@ -10,7 +10,7 @@ A question is answered in three steps, for all questions together:
   1. Seeds: the documents with the best postings of its terms are scored. The k-th best score is a floor.
   2. Terms are ordered by what they can add at most. Those that together stay below the floor can't bring a document in by
      themselves; of the others, bands are read only as far as band and all other terms together reach the floor.
-  3. The documents found there are scored exactly, and the best k are kept.
+  3. The documents found there are scored exactly, block by block, and the best k are kept.
 
 No document that belongs into the result is missed, and documents are read, split and weighed once, however many questions come.
 """
@@ -19,13 +19,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voicegrid.config import DEFAULTS
 from voicegrid.functions import numeric, text
-from voicegrid.functions.text import once
 from voicegrid.operators.features import idf, terms_of
 from voicegrid.operators.skew import join_frequent, top_n_per_key
 from voicegrid.session import materialize, spread
@@ -33,6 +35,8 @@ from voicegrid.session import materialize, spread
 # Best postings of a term that serve as seeds, and bands to each halving of the bound.
 CHAMPIONS = 16
 BANDS_PER_HALF = 2
+# Documents and questions that are scored against each other in one piece.
+BLOCK_DOCUMENTS, SLICE_QUESTIONS = 4096, 4096
 SLACK = 1e-9
 
 
@@ -98,25 +102,74 @@ def question_terms(index: SearchIndex, questions: DataFrame) -> DataFrame:
     ), "question-terms")
 
 
+def _spread(count: Column, most: int) -> Column:
+    return F.ceil(count / F.lit(float(most))).cast("int")
+
+
+def _block_scores(documents: pa.Table, calls: pa.Table) -> pa.Table:
+    """(app_id, question_id, id, cosine) of one block: the terms of a question add up over their postings."""
+    ids, flat_ids = documents["id"].combine_chunks(), pc.list_flatten(calls["ids"]).combine_chunks()
+    words, terms = pc.list_flatten(calls["term"]).combine_chunks(), pc.list_flatten(documents["term"]).combine_chunks()
+    known = pc.unique(words)
+    code = pc.index_in(terms, value_set=known)
+    held = pc.is_valid(code).to_numpy(zero_copy_only=False)
+    code = pc.fill_null(code, -1).to_numpy()[held]
+    row = np.repeat(np.arange(len(ids)), pc.list_value_length(documents["term"]).to_numpy())[held]
+    tf = pc.list_flatten(documents["tf"]).to_numpy().astype(float)[held]
+    order = np.argsort(code, kind="stable")
+    row, tf = row[order], tf[order]
+    begins = np.searchsorted(code[order], np.arange(len(known) + 1))
+    word = pc.index_in(words, value_set=known).to_numpy()
+    share, idle, asked = (pc.list_flatten(calls[c]).to_numpy() for c in ("share", "idle", "asked"))
+    ends, last = np.cumsum(pc.list_value_length(calls["term"]).to_numpy()), np.cumsum(pc.list_value_length(calls["ids"]).to_numpy())
+    place = pc.index_in(flat_ids, value_set=ids)
+    present = pc.is_valid(place).to_numpy(zero_copy_only=False)
+    place = pc.fill_null(place, 0).to_numpy()
+    squares = documents["squares"].to_numpy()
+    cosine = np.zeros(len(flat_ids))
+    for n in range(calls.num_rows):
+        dot, less = np.zeros(len(ids)), np.zeros(len(ids))
+        for w in range(ends[n - 1] if n else 0, ends[n]):
+            at = slice(begins[word[w]], begins[word[w] + 1])
+            dot[row[at]] += share[w] * asked[w] * tf[at]
+            # Shared terms weigh less in the document's length, as the question is a document too.
+            less[row[at]] += tf[at] * tf[at] * (idle[w] * idle[w] - asked[w] * asked[w])
+        wanted = slice(last[n - 1] if n else 0, last[n])
+        met = np.nonzero(present[wanted] & (dot[place[wanted]] > 0))[0] + wanted.start
+        cosine[met] = dot[place[met]] / np.sqrt(squares[place[met]] - less[place[met]])
+    found = np.nonzero(cosine > 0)[0]
+    call = pa.array(np.searchsorted(last, found, side="right"))
+    return pa.table({
+        "app_id": calls["app_id"].take(call), "question_id": calls["question_id"].take(call), "id": flat_ids.take(pa.array(found)),
+        "cosine": pa.array(cosine[found]),
+    })
+
+
 def scores(index: SearchIndex, asked: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(app_id, question_id, id, cosine) of distinct candidates (app_id, question_id, id)."""
-    entry = F.struct(F.col("share"), F.col("idle"), F.col("asked"))
-    maps = asked.groupBy("app_id", "question_id").agg(F.map_from_entries(F.collect_list(F.struct("term", entry.alias("w")))).alias("words"))
-    both = candidates.join(maps, ["app_id", "question_id"]).join(index.documents, ["app_id", "id"])
-
-    def cosine(shared: Column) -> Column:
-        dot = F.aggregate(shared, F.lit(0.0), lambda s, x: s + x["w"]["share"] * x["tf"] * x["w"]["asked"])
-        # Shared terms weigh less in the document's length, as the question is a document too.
-        less = F.aggregate(
-            shared, F.lit(0.0), lambda s, x: s + x["tf"] * x["tf"] * (x["w"]["idle"] * x["w"]["idle"] - x["w"]["asked"] * x["w"]["asked"])
-        )
-        return F.when(F.size(shared) > 0, dot / F.sqrt(F.col("squares") - less))
-
-    shared = F.filter(
-        F.transform("bag", lambda t: F.struct(t["tf"].alias("tf"), F.try_element_at(F.col("words"), t["term"]).alias("w"))),
-        lambda x: x["w"].isNotNull(),
+    """(app_id, question_id, id, cosine) of distinct candidates (app_id, question_id, id).
+
+    Documents of an app stand in blocks, its questions in slices, both of a bounded size. A block meets each slice once, so
+    no document and no question is repeated for each of their pairs.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
+    schema = f"app_id {kinds['app_id']}, question_id {kinds['question_id']}, id {kinds['id']}, cosine double"
+    who = ["app_id", "question_id"]
+    words = asked.groupBy(*who).agg(F.collect_list(F.struct("term", "share", "idle", "asked")).alias("w"))
+    slices = asked.groupBy("app_id").agg(_spread(F.count_distinct("question_id"), SLICE_QUESTIONS).alias("slices"))
+    apps = materialize(index.sizes.join(slices, "app_id").withColumn("blocks", _spread(F.col("documents"), BLOCK_DOCUMENTS)), "app-blocks")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
+    called = join_frequent(candidates, apps, ["app_id"], "documents", stored=True).select(
+        *who, block, F.pmod(F.xxhash64("question_id"), F.col("slices")).cast("int").alias("slice"), "id"
+    ).groupBy(*who, "block", "slice").agg(F.collect_list("id").alias("ids"))
+    calls = called.join(words, who).select(*who, "block", "slice", "ids", *[F.col(f"w.{c}").alias(c) for c in ("term", "share", "idle", "asked")])
+    placed = join_frequent(index.documents, apps, ["app_id"], "documents", stored=True).select(
+        "app_id", block, F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "id",
+        F.col("bag.term").alias("term"), F.col("bag.tf").alias("tf"), "squares",
     )
-    return both.select("app_id", "question_id", "id", once(shared, cosine).alias("cosine")).filter("cosine > 0")
+    area = ["app_id", "block", "slice"]
+    # Both sides come from the same tables, so columns are named anew.
+    left, right = (side.select(*[F.col(c).alias(c) for c in side.columns]).groupBy(*area) for side in (placed, calls))
+    return left.cogroup(right).applyInArrow(_block_scores, schema)
 
 
 def candidates(index: SearchIndex, asked: DataFrame, limit: int) -> DataFrame:
