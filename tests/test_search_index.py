@@ -101,3 +101,14 @@ def test_scores_meet_documents_in_blocks(spark, monkeypatch):
     for r in sorted(found, key=lambda r: r["rank"]):
         got.setdefault((r["app_id"], r["question_id"]), []).append(r["id"])
     assert got == {k: [i for i, _ in v] for k, v in want.items()}
+
+
+def test_rows_of_one_question_are_asked_together(spark):
+    chunks = spark.createDataFrame([("a", 1, "red blue"), ("a", 2, "blue green green"), ("a", 3, "grey")], "app_id string, id long, text string")
+    index = search_index.build_index(chunks)
+
+    def asked(*rows):
+        questions = spark.createDataFrame(rows, "app_id string, question_id long, text string")
+        return sorted((r["rank"], r["id"], r["score"]) for r in search_index.search(index, questions).collect())
+
+    assert asked(("a", 1, "red blue"), ("a", 1, "blue green")) == asked(("a", 1, "red blue blue green"))

@@ -89,7 +89,9 @@ def build_index(chunks: DataFrame, stopwords=(), key: str = "id", app: str = "ap
 def question_terms(index: SearchIndex, questions: DataFrame) -> DataFrame:
     """Stored (app_id, question_id, term, share, idle, asked, bound): the question's terms at unit length."""
     counted = text.term_counts(terms_of(F.col("text"), bigrams=False, stopwords=index.stopwords))
-    split = questions.select("app_id", "question_id", F.inline(counted)).join(index.sizes, "app_id")
+    said = questions.select("app_id", "question_id", F.inline(counted))
+    # Rows that repeat a question's number are one question.
+    split = said.groupBy("app_id", "question_id", "term").agg(F.sum("tf").alias("tf")).join(index.sizes, "app_id")
     found = split.join(index.terms.select("app_id", "term", "df", "bound"), ["app_id", "term"], "left")
     df = F.coalesce("df", F.lit(0))
     weighed = found.withColumns({"idle": idf(df, F.col("documents")), "asked": idf(df + 1, F.col("documents"))})
@@ -131,9 +133,9 @@ def _block_scores(documents: pa.Table, calls: pa.Table) -> pa.Table:
         dot, less = np.zeros(len(ids)), np.zeros(len(ids))
         for w in range(ends[n - 1] if n else 0, ends[n]):
             at = slice(begins[word[w]], begins[word[w] + 1])
-            dot[row[at]] += share[w] * asked[w] * tf[at]
+            np.add.at(dot, row[at], share[w] * asked[w] * tf[at])
             # Shared terms weigh less in the document's length, as the question is a document too.
-            less[row[at]] += tf[at] * tf[at] * (idle[w] * idle[w] - asked[w] * asked[w])
+            np.add.at(less, row[at], tf[at] * tf[at] * (idle[w] * idle[w] - asked[w] * asked[w]))
         wanted = slice(last[n - 1] if n else 0, last[n])
         met = np.nonzero(present[wanted] & (dot[place[wanted]] > 0))[0] + wanted.start
         cosine[met] = dot[place[met]] / np.sqrt(squares[place[met]] - less[place[met]])
