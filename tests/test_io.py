@@ -89,3 +89,21 @@ def test_model_trains_scores_and_survives_storage(spark, tmp_path):
     assert scored[1]["clean_text"] == "another crash and freeze error"
     assert scored[2]["vocabulary_hits"] == 0 and scored[2]["review_route"] == "translation_or_human"
     assert scored[1]["classification_source"] == "xgboost"
+
+
+def test_pages_of_one_file_are_written_by_many_tasks(spark, tmp_path):
+    """A page costs a task some milliseconds whatever its size; one input file was one task."""
+    import hashlib
+    import os
+
+    from voicegrid.plans import catalogue
+    from voicegrid.session import shared_dir
+
+    pages = [(i, f"u{i}", f"<p>page {i}</p>\n") for i in range(64)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    before = set(os.listdir(shared_dir(spark)))
+    found = {r["page_id"]: r["digest"] for r in catalogue.queries()["src_docs"](spark, str(tmp_path)).collect()}
+    assert found == {i: hashlib.md5(html.encode()).hexdigest() for i, _, html in pages}
+    (folder,) = (x for x in set(os.listdir(shared_dir(spark))) - before if x.startswith("docs-"))
+    tasks = {name[:10] for _, _, names in os.walk(os.path.join(shared_dir(spark), folder)) for name in names if name.startswith("part-")}
+    assert len(tasks) > 1

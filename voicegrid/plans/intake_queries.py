@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voicegrid.operators import classify, evidence, features, intake, resolve
 from voicegrid.plans.registry import query, scratch
+from voicegrid.session import spread
 from voicegrid.sources import readers, writers
 from voicegrid.sources.samples import STOPWORDS, Tables
 
@@ -106,7 +107,8 @@ def src_csv(t: Tables):
 def src_docs(t: Tables):
     """Pages as one text file each in nested folders, read back whole."""
     path = scratch(t, "docs")
-    t.pages.select("page_id", F.col("html").alias("value")).write.partitionBy("page_id").text(path)
+    # A file takes its time whatever its size, so few input files are dealt to all cores.
+    spread(t.pages.select("page_id", F.col("html").alias("value"))).write.partitionBy("page_id").text(path)
     docs = readers.read_documents(t.spark, path)
     return docs.select(
         F.regexp_extract("source", "page_id=([0-9]+)", 1).cast("bigint").alias("page_id"),
