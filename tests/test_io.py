@@ -107,3 +107,14 @@ def test_pages_of_one_file_are_written_by_many_tasks(spark, tmp_path):
     (folder,) = (x for x in set(os.listdir(shared_dir(spark))) - before if x.startswith("docs-"))
     tasks = {name[:10] for _, _, names in os.walk(os.path.join(shared_dir(spark), folder)) for name in names if name.startswith("part-")}
     assert len(tasks) > 1
+
+
+def test_rows_of_one_page_stay_one_file(spark, tmp_path):
+    import hashlib
+
+    from voicegrid.plans import catalogue
+
+    pages = [(i % 32, f"u{i}", f"<p>page {i}</p>") for i in range(64)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    found = sorted(tuple(r) for r in catalogue.queries()["src_docs"](spark, str(tmp_path)).select("page_id", "digest").collect())
+    assert found == [(i, hashlib.md5(f"<p>page {i}</p>\n<p>page {i + 32}</p>".encode()).hexdigest()) for i in range(32)]
