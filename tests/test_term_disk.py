@@ -57,3 +57,15 @@ def test_turns_do_not_change_vectors(spark, monkeypatch):
         monkeypatch.setattr(term_blocks, "TURNS", turns)
         found.append(sorted((r["unit"], round(r["mass"], 9), [(t["k1"], t["k2"], round(t["w"], 9)) for t in r["vector"]], len(r["prefix"])) for r in dedupe.unit_vectors(units).collect()))
     assert found[0] == found[1] and found[0]
+
+
+def test_many_pairs_take_turns(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "TURN_PAIRS", 3)
+    units = dedupe.pairable(dedupe.unit_vectors(materialize(dedupe.collapse_copies(spark.createDataFrame(ROWS, SCHEMA)), "u")), 0.5)
+    pairs = materialize(units.select(F.col("unit").alias("a")).join(units.select(F.col("unit").alias("b")), F.expr("a < b")), "pairs")
+    before = stored(spark, "cosines")
+    found = {(r["a"], r["b"]): r["cosine"] for r in dedupe.with_cosine(pairs, units).collect()}
+    assert len(stored(spark, "cosines") - before) == 1
+    vectors = {r["unit"]: {(t["k1"], t["k2"]): t["w"] for t in r["vector"]} for r in units.collect()}
+    assert len(found) == pairs.count() > 3 * len(vectors)
+    assert all(abs(c - sum(w * vectors[b].get(k, 0.0) for k, w in vectors[a].items())) < 1e-9 for (a, b), c in found.items())
