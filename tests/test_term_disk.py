@@ -61,6 +61,7 @@ def test_turns_do_not_change_vectors(spark, monkeypatch):
 
 def test_many_pairs_take_turns(spark, monkeypatch):
     monkeypatch.setattr(dedupe, "TURN_PAIRS", 3)
+    monkeypatch.setattr(dedupe, "LEAST_PAIRS", 1)
     units = dedupe.pairable(dedupe.unit_vectors(materialize(dedupe.collapse_copies(spark.createDataFrame(ROWS, SCHEMA)), "u")), 0.5)
     pairs = materialize(units.select(F.col("unit").alias("a")).join(units.select(F.col("unit").alias("b")), F.expr("a < b")), "pairs")
     before = stored(spark, "cosines")
