@@ -112,3 +112,18 @@ def test_rows_of_one_question_are_asked_together(spark):
         return sorted((r["rank"], r["id"], r["score"]) for r in search_index.search(index, questions).collect())
 
     assert asked(("a", 1, "red blue"), ("a", 1, "blue green")) == asked(("a", 1, "red blue blue green"))
+
+
+def test_many_questions_make_no_list_of_candidates(spark, monkeypatch):
+    """Their candidates would be more rows than the index has postings; blocks report their best documents only."""
+    monkeypatch.setattr(search_index, "BLOCK_DOCUMENTS", 50)
+    rows, asked = corpus(9, 200)
+    index = search_index.build_index(spark.createDataFrame(rows, "app_id string, id long, text string"), STOP)
+    # A row of the index is a block: words stand in it once.
+    assert index.documents.count() < 16
+    monkeypatch.setattr(search_index, "candidates", None)
+    found = search_index.search(index, spark.createDataFrame(asked, "app_id string, question_id long, text string"), 3).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        got.setdefault((r["app_id"], r["question_id"]), []).append(r["id"])
+    assert got == {k: [i for i, _ in v] for k, v in by_hand(rows, asked, 3).items()}
