@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from voicegrid.config import DEFAULTS
 from voicegrid.functions import numeric, text
+from voicegrid.functions.words import split_words
 from voicegrid.operators.features import idf, terms_of
 from voicegrid.operators.skew import join_frequent, top_n_per_key
 from voicegrid.session import materialize, materialize_parts, passing, spread
@@ -121,18 +122,10 @@ def _whole(table: pa.Table, column: str) -> pa.Array:
     return pa.concat_arrays(pc.list_flatten(table[column]).chunks or [pa.array([], table.schema.field(column).type.value_type)])
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
-    """(text number, word) of all words between blanks."""
-    some = pc.not_equal(texts, "")
-    split = pc.split_pattern(texts.filter(some), " ")
-    row = np.nonzero(some.to_numpy(zero_copy_only=False))[0]
-    return np.repeat(row, pc.list_value_length(split).to_numpy(zero_copy_only=False)), split.flatten().dictionary_encode()
-
-
 def _bags(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(app, block, id, words) with the distinct words and their counts."""
     for part in parts:
-        row, words = _words(part.column(3))
+        row, words = split_words(part.column(3))
         many = max(len(words.dictionary), 1)
         key, tf = np.unique(row * many + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
         offsets = np.searchsorted(key, np.arange(part.num_rows + 1) * many)
@@ -147,7 +140,7 @@ def _packed(table: pa.Table) -> pa.Table:
     ids = pc.unique(table["id"])
     ids = ids.take(pc.sort_indices(ids))
     place = pc.index_in(table["id"], value_set=ids).to_numpy()
-    row, words = _words(pa.concat_arrays(table["terms"].chunks))
+    row, words = split_words(pa.concat_arrays(table["terms"].chunks))
     row = place[row]
     code = words.indices.to_numpy(zero_copy_only=False)
     order = np.lexsort((row, code))
