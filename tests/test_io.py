@@ -118,3 +118,17 @@ def test_rows_of_one_page_stay_one_file(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     found = sorted(tuple(r) for r in catalogue.queries()["src_docs"](spark, str(tmp_path)).select("page_id", "digest").collect())
     assert found == [(i, hashlib.md5(f"<p>page {i}</p>\n<p>page {i + 32}</p>".encode()).hexdigest()) for i in range(32)]
+
+
+def test_pages_share_folders(spark, tmp_path):
+    """A folder for every page had to be made, moved and listed for every file."""
+    import os
+
+    from voicegrid.sources import readers, writers
+
+    pages = [(i, None if i == 7 else f"page {i}\nend") for i in range(300)] + [(5, "again")]
+    writers.write_pages(spark.createDataFrame(pages, "page_id long, value string").repartition(3, "page_id"), f"{tmp_path}/pages")
+    folders = [d for d, _, names in os.walk(f"{tmp_path}/pages") if any(n.endswith(".txt") for n in names)]
+    assert len(folders) <= 3
+    found = {int(r["source"].rsplit("page_id=")[1][:-4]): r["text"] for r in readers.read_documents(spark, f"{tmp_path}/pages").collect()}
+    assert found == {i: "\n" if v is None else v + "\n" + "again\n" * (i == 5) for i, v in pages[:300]}

@@ -108,7 +108,7 @@ def src_docs(t: Tables):
     """Pages as one text file each in nested folders, read back whole."""
     path = scratch(t, "docs")
     # A file takes its time whatever its size, so few input files are dealt to all cores; a page stays with one task, as it is one file.
-    spread(t.pages.select("page_id", F.col("html").alias("value")), "page_id").write.partitionBy("page_id").text(path)
+    writers.write_pages(spread(t.pages.select("page_id", F.col("html").alias("value")), "page_id"), path)
     docs = readers.read_documents(t.spark, path)
     return docs.select(
         F.regexp_extract("source", "page_id=([0-9]+)", 1).cast("bigint").alias("page_id"),
